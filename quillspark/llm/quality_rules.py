@@ -22,6 +22,8 @@ from .common import cut, texts
 
 _WS = r"[\x20\x09-\x0D]+"
 _TRIM = " \t\n\x0b\x0c\r"
+#: A group's rows meet its estimate in so many parts.
+SALTS = 32
 
 #: Least standard deviation of each transformed statistic. It keeps a
 #: statistic that is 0 in most rows from making one odd line an outlier.
@@ -136,10 +138,12 @@ def _fit(rows: DataFrame, key: str, steps: int, share: float, accuracy: int) ->
     factor, lower = _cholesky(p, names)
     # consistency: the covariance of the nearest half understates that of a Gaussian
     correct = share / _chi2_cdf(_chi2_quantile(share, p), p + 2)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)))
+    spread_out = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     for _ in range(steps):
-        far = rows.join(at, key).withColumn("d", _distance(names))
+        far = rows.join(spread_out(at), [key, "salt"]).withColumn("d", _distance(names))
         near = far.groupBy(key).agg(F.percentile_approx("d", F.lit(share), accuracy).alias("cut_d"))
-        half = far.select(key, "n_rows", "d", *names).join(near, key).where(F.col("d") <= F.col("cut_d"))
+        half = far.select(key, "salt", "n_rows", "d", *names).join(spread_out(near), [key, "salt"]).where(F.col("d") <= F.col("cut_d"))
         at = half.groupBy(key).agg(
             F.max("n_rows").alias("n_rows"),
             *(F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)),
