@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from .common import ranges, slices, texts
 #: The pre-tokenizer's pattern, a fixed value of the public byte-level scheme,
 #: with white space spelt as a property: ``\s`` also takes U+001C to U+001F here.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+TOP = np.int64(1 << 40)
 CHUNKS = r" ?\S+|\s+(?!\S)|\s+"
 
 
@@ -36,6 +38,32 @@ def byte_chars() -> list[str]:
     return [chars[b] for b in range(256)]
 
 
+class Store:
+    """Runs of ids by number, in arrays that double when they are full."""
+
+    def __init__(self):
+        self.flat, self.len, self.at = np.zeros(1 << 16, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = self.count = 0
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = self._room(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        end = self.count + len(sizes)
+        self.len, self.at = self._room(self.len, end), self._room(self.at, end)
+        self.len[self.count : end] = sizes
+        self.at[self.count : end] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.count = self.used + len(ids), end
+
+    def take(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the runs ``k`` one after another, and their number in each."""
+        n = self.len[k]
+        return self.flat[ranges(self.at[k], n)], n
+
+
 class Bpe:
     """Encoder and decoder for one tokenizer file (its JSON text)."""
 
@@ -68,27 +96,32 @@ class Bpe:
         self._reset()
 
     def _reset(self) -> None:
-        self.words: dict[str, np.ndarray] = {}
-        self.known: dict[str, int] = {s: k for k, s in enumerate(self.special)}
-        self.ids = [np.array([i], np.int64) for i in self.special.values()]
-        self.flat, self.at, self.len = None, None, None
-
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word, all merged in the same rounds."""
+        #: Words and chunks by number, and their ids one after another.
+        self.words: dict[str, int] = {}
+        self.known: dict[str, int] = {}
+        self.word_ids, self.chunk_ids = Store(), Store()
+        for text, i in self.special.items():
+            self.known[text] = len(self.known)
+            self.chunk_ids.add(np.array([i]), np.array([1]))
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left * self.size + right
+        i = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
+        return np.where(self.key[i] == pair, self.rank[i], TOP)
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and their number in each; all are merged in the same rounds."""
         size = np.array([len(w) for w in words], np.int64)
         sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), size)
-        out_sym, out_word = [], []
-        top = np.int64(1 << 40)
+        out_sym, out_word = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # rank[i] is that of the pair at i and i + 1; none at a word's last symbol
+        rank = np.append(self.ranks(sym[:-1], sym[1:]), TOP)
+        rank[np.cumsum(size)[size > 0] - 1] = TOP
         while len(sym):
-            pair = sym[:-1] * self.size + sym[1:]
-            i = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
-            rank = np.where((self.key[i] == pair) & (word[:-1] == word[1:]), self.rank[i], top)
-            rank = np.append(rank, top)
             begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            low = np.minimum.reduceat(rank, begin)
-            each = np.repeat(low, np.diff(np.append(begin, len(sym))))
-            live = each < top
+            each = np.repeat(np.minimum.reduceat(rank, begin), np.diff(np.append(begin, len(sym))))
+            live = each < TOP
             if not live.all():  # words with no pair left are done
                 out_sym.append(sym[~live]), out_word.append(word[~live])
                 sym, word, rank, each = sym[live], word[live], rank[live], each[live]
@@ -98,31 +131,41 @@ class Bpe:
             # of overlapping places of one pair, every other one from the left
             n = np.arange(len(hit))
             run = np.maximum.accumulate(np.where(np.append(True, ~hit[:-1]), n, 0))
-            hit &= (n - run) % 2 == 0
-            at = np.flatnonzero(hit)
+            at = np.flatnonzero(hit & ((n - run) % 2 == 0))
             sym[at] = self.new[rank[at]]
+            # only pairs beside a product have a new rank
+            dirty = np.zeros(len(sym), bool)
+            dirty[at] = True
+            dirty[np.maximum(at - 1, 0)] = True
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            sym, word = sym[keep], word[keep]
-        if not out_sym:
-            return [np.zeros(0, np.int64) for _ in words]
+            sym, word, rank, dirty = sym[keep], word[keep], rank[keep], dirty[keep]
+            i = np.flatnonzero(dirty)
+            j = np.minimum(i + 1, len(sym) - 1)
+            rank[i] = np.where((i < j) & (word[i] == word[j]), self.ranks(sym[i], sym[j]), TOP)
         sym, word = np.concatenate(out_sym), np.concatenate(out_word)
-        order = np.argsort(word, kind="stable")
-        n = np.bincount(word, minlength=len(words))
-        return np.split(sym[order], np.cumsum(n)[:-1])
+        return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+
+    def _split(self, chunk: str) -> list[str]:
+        """The words of one chunk; most are letters, with a space before them or not."""
+        if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+            return [chunk]
+        return self.pieces(chunk)
 
     def _learn(self, chunks: set[str]) -> None:
         chunks = list(chunks)
-        cut = [self.pieces(c) for c in chunks]
-        fresh = list({w for c in cut for w in c if w not in self.words})
+        cut = [self._split(c) for c in chunks]
+        fresh = [w for w in dict.fromkeys(w for c in cut for w in c) if w not in self.words]
         for x, y in slices([len(w) for w in fresh], 2_000_000):
-            self.words.update(zip(fresh[x:y], self.merge([w.encode() for w in fresh[x:y]])))
-        for c, ws in zip(chunks, cut):
-            self.known[c] = len(self.ids)
-            self.ids.append(np.concatenate([self.words[w] for w in ws]) if len(ws) > 1 else self.words[ws[0]])
-        self.len = np.array([len(x) for x in self.ids], np.int64)
-        self.at = np.cumsum(self.len) - self.len
-        self.flat = np.concatenate(self.ids)
+            n = len(self.words)
+            self.words.update(zip(fresh[x:y], range(n, n + y - x)))
+            self.word_ids.add(*self.merge([w.encode() for w in fresh[x:y]]))
+        sizes = np.array([len(c) for c in cut], np.int64)
+        get = self.words.__getitem__
+        k = np.fromiter((i for c in cut for i in map(get, c)), np.int64, int(sizes.sum()))
+        ids, n = self.word_ids.take(k)
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
+        self.chunk_ids.add(ids, np.add.reduceat(n, np.cumsum(sizes) - sizes) if len(n) else n)
 
     def encode_batch(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.most:
@@ -138,14 +181,14 @@ class Bpe:
                     got.extend(self.pieces(p) if self.odd(p) else self.chunks(p))
             cut.append(got)
         fresh = set().union(*cut) - self.known.keys()
-        if fresh or self.flat is None:
+        if fresh:
             self._learn(fresh)
         n = np.array([len(c) for c in cut], np.int64)
         get = self.known.__getitem__
-        k = np.fromiter((i for c in cut for i in map(get, c)), np.int64, int(n.sum()))
-        ids = self.flat[ranges(self.at[k], self.len[k])]
-        sizes = np.concatenate([[0], np.cumsum(self.len[k])])[np.cumsum(n)]
-        return np.split(ids, sizes[:-1])
+        k = np.fromiter(map(get, chain.from_iterable(cut)), np.int64, int(n.sum()))
+        ids, each = self.chunk_ids.take(k)
+        sizes = np.concatenate([[0], np.cumsum(each)])[np.cumsum(n)]
+        return [ids[a:b] for a, b in zip([0, *sizes.tolist()], sizes.tolist())]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return self.byte_flat[ranges(self.byte_at[ids], self.byte_len[ids])].tobytes()
