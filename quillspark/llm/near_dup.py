@@ -8,31 +8,34 @@
    fill all bands.
 2. Rows with the same shingle set (128-bit digest) form a class; classes take
    the place of rows in all that follows, so thousands of copies cost no pairs.
-3. ``bands`` bands of ``rows`` compressed registers each. In each bucket
-   of a band, every class is a candidate with the bucket's least class. The
-   collision-corrected Jaccard estimate of the registers drops hopeless
-   candidates; of the others, the best for each class is verified on
-   full shingle sets.
+3. ``bands`` bands of ``rows`` registers each. In each bucket of a band, every
+   class is a candidate with the bucket's least class. The collision-corrected
+   Jaccard estimate drops hopeless candidates; it counts equal registers
+   in their last ``KEPT`` mantissa bits, packed in longs, so it is a few integer
+   operations inside the join. Of the others, the best for each class is
+   verified on full shingle sets.
 4. Buckets whose classes are not yet in one component give the pairs across
-   components, which are estimated and verified too. Pairs within
-   a component cannot change the result, so none is made. All links found
-   together give the components.
+   components, in two passes by falling estimate; each pair leaves the join once,
+   at the first band it shares, and only with a sufficient estimate.
+   Pairs within a component cannot change the result, so none is made.
+   All links found together give the components.
 
 A pair at a similarity of 0.75 is in no common band with a probability of
-(1 - 0.75**5) ** 50 = 1.3e-6.
+(1 - 0.75**5) ** 50 = 1.3e-6; its estimate has a standard deviation of 0.016
+and falls under ``floor`` with a probability of 4e-6.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, cut, mix64, odd_multipliers, slices, texts
 from .graph import components
 
-SHINGLE, SEED, MANTISSA = 5, 20_240_229, 10
+SHINGLE, SEED, MANTISSA, KEPT = 5, 20_240_229, 10, 2
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -67,7 +70,7 @@ def sketch(hashes: np.ndarray, registers: int, walk: np.ndarray) -> np.ndarray:
     bits = np.uint64(registers.bit_length() - 1)
     bucket = (hashes & np.uint64(registers - 1)).astype(np.int64)
     least = np.full(registers, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, bucket, hashes >> bits)
+    least[bucket[::-1]] = hashes[::-1] >> bits  # ascending: the last write to a bucket is its least
     full = np.zeros(registers, bool)
     full[bucket] = True
     # leading zeros by the exponent of the value, exact below 2**53: shift the rest away first
@@ -77,15 +80,16 @@ def sketch(hashes: np.ndarray, registers: int, walk: np.ndarray) -> np.ndarray:
     zeros = np.minimum(width - top, 63)
     rest = np.where(top > MANTISSA + 1, value >> np.maximum(top - MANTISSA - 1, 0).astype(np.uint64), value << np.maximum(MANTISSA + 1 - top, 0).astype(np.uint64))
     reg = ((zeros.astype(np.uint64) << np.uint64(MANTISSA)) | (rest & np.uint64((1 << MANTISSA) - 1))).astype(np.uint16)
-    if not full.all():
-        # the first full bucket on each empty bucket's walk
-        empty = np.flatnonzero(~full)
-        seen = full[walk[empty]]
+    empty = np.flatnonzero(~full)
+    for steps in (24, registers):  # the first full bucket on each empty bucket's walk
+        if not len(empty):
+            break
+        path = walk[empty, :steps]
+        seen = full[path]
         first = seen.argmax(1)
-        got = np.where(seen[np.arange(len(empty)), first], walk[empty, first], -1)
-        if (got < 0).any():  # walks are permutations of all buckets only in their union: fall back on order
-            got[got < 0] = np.flatnonzero(full)[0]
-        reg[empty] = reg[got]
+        got = seen[np.arange(len(empty)), first]
+        reg[empty[got]] = reg[path[got, first[got]]]
+        empty = empty[~got]
     return reg
 
 
@@ -95,10 +99,22 @@ def walks(registers: int) -> np.ndarray:
     return np.argsort(rng.random((registers, registers)), axis=1).astype(np.int32)
 
 
-def collision_rate(mantissa: int = MANTISSA, n: int = 1) -> float:
-    """Chance that two unequal minima give equal registers: for leading-zero
-    class z (mass 2**-(z+1) for one value), the mantissas agree at 2**-mantissa."""
-    return sum(4.0 ** -(z + 1) for z in range(60)) * 2.0**-mantissa
+def packed(reg: np.ndarray) -> np.ndarray:
+    """The last two mantissa bits of each register, 32 registers to a long."""
+    two = (reg & np.uint16(3)).astype(np.uint64).reshape(-1, 32)
+    return (two << (2 * np.arange(32, dtype=np.uint64))).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def estimated(a: str, b: str, longs: int) -> Column:
+    """Jaccard estimate of two arrays of packed registers: the share of equal
+    fields, less the quarter in which unequal minima agree by chance."""
+    same = F.lit(0)
+    for i in range(longs):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        off = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
+        same = same + 32 - F.bit_count(off)
+    chance = 2.0**-KEPT
+    return (same / F.lit(32.0 * longs) - chance) / (1 - chance)
 
 
 def _sketched(registers: int, bands: int, rows: int):
@@ -115,41 +131,24 @@ def _sketched(registers: int, bands: int, rows: int):
             sizes = pa.compute.binary_length(texts_).to_pylist()
             for x, y in slices(sizes, 4_000_000):
                 sets = shingle_sets(texts_.slice(x, y - x).to_pylist(), words)
-                n, digest, reg, band = [], [], [], []
+                n, digest, bits, band = [], [], [], []
                 for s in sets:
                     n.append(len(s))
                     if not len(s):
-                        digest.append(None), reg.append(None), band.append(None)
+                        digest.append(None), bits.append(None), band.append(None)
                         continue
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     r = sketch(s, registers, walk)
-                    reg.append(r.tobytes())
+                    bits.append(packed(r))
                     band.append(mix64((r[take].astype(np.uint64) * mult).sum(1, dtype=np.uint64) ^ salt).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(x, y - x), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(reg, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "regs", "bands"],
+                    [ids.slice(x, y - x), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(band, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "digest", "bits", "bands"],
                 )
 
     return run
 
 
-def _estimated(floor: float):
-    """Keeps the candidate pairs whose corrected estimate reaches ``floor``."""
-
-    def run(batches):
-        rate = collision_rate()
-        for b in batches:
-            if not b.num_rows:
-                continue
-            one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("ra", "rb"))
-            same = (one == two).mean(1)
-            j = np.clip((same - rate) / (1 - rate), 0, 1)
-            ok = np.flatnonzero(j >= floor)
-            yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(ok)), b.column("b").take(pa.array(ok)), pa.array(j[ok])], ["a", "b", "j"])
-
-    return run
-
-
 def _verified(percent: int):
     """Keeps the pairs whose full shingle sets are similar."""
 
@@ -189,10 +188,11 @@ def _verified(percent: int):
 def near_duplicates(
     docs: DataFrame,
     percent: int = 75,
-    registers: int = 256,
+    registers: int = 1024,
     bands: int = 50,
     rows: int = 5,
-    margin: float = 0.2,
+    floor: float = 0.677,
+    likely: float = 0.72,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
@@ -201,59 +201,55 @@ def near_duplicates(
     share a component and a verdict. A null doc_id gets the least id of its
     component, null if none has one. Extra columns are not read.
     """
+    longs = registers // 32
     own = docs.select("doc_id", texts().alias("text"))
     sk = cut(
-        own.mapInArrow(_sketched(registers, bands, rows), "doc_id long, n_shingles long, digest binary, regs binary, bands array<long>"),
+        own.mapInArrow(_sketched(registers, bands, rows), "doc_id long, n_shingles long, digest binary, bits array<long>, bands array<long>"),
         "sketch",
     )
     some = sk.where(F.col("digest").isNotNull())
-    classes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
-    reps = some.join(classes.select("digest", "rep"), "digest").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    keyed = reps.select("digest", F.posexplode("bands").alias("i", "key")).select("digest", "key")
+    first = lambda c: F.first(c).alias(c)  # noqa: E731  the same in all rows of a class
+    classes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), first("bits"), first("bands")), "classes")
+    keyed = classes.select("digest", F.explode("bands").alias("key"))
     shared = cut(
         keyed.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where(F.col("least") < F.col("most")).select("key", "least"),
         "buckets",
     )
     members = cut(keyed.join(shared, "key").select("key", "digest", "least"), "members")
-    regs = some.select("digest", "regs", F.col("n_shingles").alias("n"))
-
-    def estimate(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) that can reach the similarity by size and by registers."""
-        left, right = classes.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("rep").alias("ida")), classes.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("rep").alias("idb"))
-        near = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        one = sk.select(F.col("digest").alias("a"), F.col("doc_id").alias("ida"), F.col("regs").alias("ra"))
-        two = sk.select(F.col("digest").alias("b"), F.col("doc_id").alias("idb"), F.col("regs").alias("rb"))
-        with_a = near.join(one, near.a.eqNullSafe(one.a) & near.ida.eqNullSafe(one.ida)).select(near.a, near.b, near.idb, "ra")
-        both = with_a.join(two, (with_a.b == two.b) & with_a.idb.eqNullSafe(two.idb)).select(with_a.a, with_a.b, "ra", "rb")
-        return both.mapInArrow(_estimated(percent / 100 - margin), "a binary, b binary, j double")
+    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    side = lambda x: classes.select(F.col("digest").alias(x), F.col("n").alias(f"n{x}"), F.col("rep").alias(f"id{x}"), F.col("bits").alias(f"bits{x}"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = classes.select("digest", "rep")
-        p = pairs.join(ids.select(F.col("digest").alias("a"), F.col("rep").alias("ida")), "a").join(ids.select(F.col("digest").alias("b"), F.col("rep").alias("idb")), "b")
+        """The pairs (a, b, ida, idb) that are links. Their number follows from the estimate; texts come only for them."""
+        pairs = cut(pairs.select("a", "b", "ida", "idb"), "pairs")
         one, two = (own.select(F.col("doc_id").alias(f"k{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
-        p = p.join(one, F.col("ida").eqNullSafe(F.col("ka"))).join(two, F.col("idb").eqNullSafe(F.col("kb")))
+        p = pairs.join(one, F.col("ida").eqNullSafe(F.col("ka"))).join(two, F.col("idb").eqNullSafe(F.col("kb")))
         return cut(p.select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a binary, b binary").distinct(), "verified")
 
     stars = members.where(F.col("digest") != F.col("least")).select(F.col("digest").alias("a"), F.col("least").alias("b")).distinct()
-    best = estimate(stars).groupBy("a").agg(F.max_by("b", F.struct("j", "b")).alias("b"))
-    links = verify(best)
+    stars = stars.join(side("a"), "a").join(side("b"), "b").where(sized).withColumn("j", estimated("bitsa", "bitsb", longs)).where(F.col("j") >= floor)
+    best = stars.groupBy("a", "ida").agg(F.max_by(F.struct("b", "idb"), F.struct("j", "b")).alias("to"))
+    links = verify(best.select("a", "ida", "to.b", "to.idb"))
     comp = cut(components(links), "components")
 
-    placed = members.join(comp, F.col("digest") == F.col("v"), "left").select("key", "digest", F.coalesce("c", "digest").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
-    left = cut(placed.join(split, "key", "left_semi"), "placed")
-    one = left.select("key", F.col("digest").alias("a"), F.col("c").alias("ca"))
-    two = left.select("key", F.col("digest").alias("b"), F.col("c").alias("cb"))
-    across = one.join(two, "key").where((F.col("ca") < F.col("cb")) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
-    across = cut(estimate(across), "across")
-    if not across.isEmpty():
-        more = verify(across.select("a", "b"))
-        if not more.isEmpty():
-            comp = cut(components(links.unionByName(more)), "components")
+    for least in (likely, floor):
+        placed = members.join(comp, F.col("digest") == F.col("v"), "left").select("key", "digest", F.coalesce("c", "digest").alias("c"))
+        split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
+        left = cut(placed.join(split, "key", "left_semi").join(classes, "digest"), "placed")
+        half = lambda x: left.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("digest", "c", "n", "rep", "bits", "bands")))
+        both = half("a").join(half("b"), "key").withColumn("j", estimated("bitsa", "bitsb", longs))
+        # the first band in which both have the same bucket
+        meet = F.get("bandsa", F.array_position(F.zip_with("bandsa", "bandsb", lambda x, y: x == y), F.lit(True)).cast("int") - 1)
+        across = both.where((F.col("ca") < F.col("cb")) & sized & (F.col("j") >= least) & (meet == F.col("key")))
+        more = verify(across.select(F.col("digesta").alias("a"), F.col("digestb").alias("b"), F.col("repa").alias("ida"), F.col("repb").alias("idb")))
+        if more.isEmpty():
+            continue
+        links = links.unionByName(more)
+        comp = cut(components(links), "components")
 
     of = classes.join(comp, F.col("digest") == F.col("v"), "left").select("digest", "rep", F.coalesce("c", "digest").alias("c"))
-    least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
-    of = of.join(least, "c").select(F.col("digest").alias("of"), "component_id")
+    least_id = of.groupBy("c").agg(F.min("rep").alias("component_id"))
+    of = of.join(least_id, "c").select(F.col("digest").alias("of"), "component_id")
     out = sk.select("doc_id", "n_shingles", "digest").join(of, F.col("digest") == F.col("of"), "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
