@@ -81,22 +81,20 @@ def sketch(hashes: np.ndarray, registers: int, walk: np.ndarray) -> np.ndarray:
     rest = np.where(top > MANTISSA + 1, value >> np.maximum(top - MANTISSA - 1, 0).astype(np.uint64), value << np.maximum(MANTISSA + 1 - top, 0).astype(np.uint64))
     reg = ((zeros.astype(np.uint64) << np.uint64(MANTISSA)) | (rest & np.uint64((1 << MANTISSA) - 1))).astype(np.uint16)
     empty = np.flatnonzero(~full)
-    for steps in (24, registers):  # the first full bucket on each empty bucket's walk
+    for step in walk:  # the first full bucket on each empty bucket's walk
         if not len(empty):
             break
-        path = walk[empty, :steps]
-        seen = full[path]
-        first = seen.argmax(1)
-        got = seen[np.arange(len(empty)), first]
-        reg[empty[got]] = reg[path[got, first[got]]]
+        to = step[empty]
+        got = full[to]
+        reg[empty[got]] = reg[to[got]]
         empty = empty[~got]
     return reg
 
 
 def walks(registers: int) -> np.ndarray:
-    """For each bucket, a fixed random order of all buckets."""
+    """Column i is a fixed random order of all buckets, for bucket i."""
     rng = np.random.default_rng(SEED)
-    return np.argsort(rng.random((registers, registers)), axis=1).astype(np.int32)
+    return np.ascontiguousarray(np.argsort(rng.random((registers, registers)), axis=1).T)
 
 
 def packed(reg: np.ndarray) -> np.ndarray:
