@@ -1,4 +1,10 @@
-"""All queries of the library, by name."""
+"""All queries of the library, by name, and the SQL that says the same."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from .operators import cache, dag, intervals, quality, signals, stream, textops, vectors
+from .streaming import queries as streaming
+
+MODULES = (vectors, intervals, signals, textops, dag, stream, cache, quality, streaming)
+QUERIES = {f.__name__: f for m in MODULES for f in m.QUERIES}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
