@@ -98,9 +98,9 @@ def step_rollup(spark, sf_dir):
 
 def span_flatten(spark, sf_dir):
     """Nested timings as flat spans: one row per leg, with its ordinal in the step."""
-    e = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array(F.struct(F.lit("slot").alias("leg"), F.col("l_tax").alias("s")), F.struct(F.lit("run").alias("leg"), F.col("l_quantity").alias("s")), F.struct(F.lit("put").alias("leg"), F.col("l_discount").alias("s"))).alias("legs"))
-    flat = e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode("legs").alias("pos", "x"))
-    w = Window.partitionBy("l_orderkey", "x.leg").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    e = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("price"), F.array(F.struct(F.lit("slot").alias("leg"), F.col("l_tax").alias("s")), F.struct(F.lit("run").alias("leg"), F.col("l_quantity").alias("s")), F.struct(F.lit("put").alias("leg"), F.col("l_discount").alias("s"))).alias("legs"))
+    flat = e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price", F.posexplode("legs").alias("pos", "x"))
+    w = Window.partitionBy("l_orderkey", "x.leg").orderBy("l_linenumber", "l_partkey", "l_suppkey", "price")
     return flat.select("l_orderkey", "l_partkey", "l_suppkey", "pos", "x.leg", F.col("x.s").alias("seconds"), (F.row_number().over(w) - 1).alias("ordinal"))
 
 
@@ -113,7 +113,7 @@ def legs_complete(spark, sf_dir):
 
 def put_prefix(spark, sf_dir):
     """Lines of an order before its first returned one: puts stop at the first refusal."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
     d = load(spark, sf_dir, "lineitem").withColumn("bad", F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).over(w))
     return d.where("bad = 0").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("puts"))
 
@@ -152,12 +152,12 @@ ORACLES = {
     "port_unique": f"WITH {_B} SELECT step, port, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) > 1",
     "step_rollup": """WITH g AS (SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 3) AS run_s, round(sum(l_discount), 3) AS wait_s, max(l_tax) AS worst_put_s, count(*) AS puts FROM lineitem GROUP BY 1, 2)
 SELECT *, round(run_s + wait_s, 3) AS seconds FROM g""",
-    "span_flatten": """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 0 AS pos, 'slot' AS leg, l_tax AS seconds FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1, 'run', l_quantity FROM lineitem
-UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 2, 'put', l_discount FROM lineitem)
-SELECT l_orderkey, l_partkey, l_suppkey, pos, leg, seconds, (row_number() OVER (PARTITION BY l_orderkey, leg ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS ordinal FROM f""",
+    "span_flatten": """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS price, 0 AS pos, 'slot' AS leg, l_tax AS seconds FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, 1, 'run', l_quantity FROM lineitem
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, 2, 'put', l_discount FROM lineitem)
+SELECT l_orderkey, l_partkey, l_suppkey, pos, leg, seconds, (row_number() OVER (PARTITION BY l_orderkey, leg ORDER BY l_linenumber, l_partkey, l_suppkey, price) - 1)::INT AS ordinal FROM f""",
     "legs_complete": """WITH g AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS seen FROM lineitem GROUP BY 1)
 SELECT array_to_string(list_filter(['A', 'N', 'R'], lambda x: NOT list_contains(seen, x)), ',') AS missing, count(*) AS n FROM g GROUP BY 1""",
-    "put_prefix": """WITH d AS (SELECT l_orderkey, max((l_returnflag = 'R')::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS bad FROM lineitem) SELECT l_orderkey, count(*) AS puts FROM d WHERE bad = 0 GROUP BY 1""",
+    "put_prefix": """WITH d AS (SELECT l_orderkey, max((l_returnflag = 'R')::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS bad FROM lineitem) SELECT l_orderkey, count(*) AS puts FROM d WHERE bad = 0 GROUP BY 1""",
     "output_weights": "WITH g AS (SELECT l_orderkey, round(sum(l_quantity), 2) AS bytes FROM lineitem GROUP BY 1) SELECT o_orderkey, coalesce(bytes, 0) AS bytes, bytes IS NOT NULL AS present FROM orders LEFT JOIN g ON o_orderkey = l_orderkey",
     "shape_digest": "SELECT l_orderkey, sha256(string_agg(p::VARCHAR, ',' ORDER BY p)) AS digest FROM (SELECT DISTINCT l_orderkey, l_partkey AS p FROM lineitem) GROUP BY 1",
 }

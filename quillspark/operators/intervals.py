@@ -64,11 +64,11 @@ def tempo_factors(speed: Column) -> Column:
 
 
 def _segments(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", (1 + F.col("l_discount")).alias("speed"))
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", (1 + F.col("l_discount")).alias("speed"))
 
 
 def timeline_remap(spark, sf_dir):
-    d = running_offsets(_segments(spark, sf_dir), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], F.col("l_quantity") / F.col("speed"))
+    d = running_offsets(_segments(spark, sf_dir), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], F.col("l_quantity") / F.col("speed"))
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("start", 4).alias("start_s"), F.round("end", 4).alias("end_s"))
 
 
@@ -171,7 +171,7 @@ _E = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1000000.
 _ISL = """x AS (SELECT *, s + {len} AS e FROM e), y AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM x),
 z AS (SELECT *, sum(CASE WHEN p IS NULL OR s - p > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM y)"""
 ORACLES = {
-    "timeline_remap": """WITH d AS (SELECT *, l_quantity / (1 + l_discount) AS len FROM lineitem), r AS (SELECT *, sum(len) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS e FROM d)
+    "timeline_remap": """WITH d AS (SELECT *, l_quantity / (1 + l_discount) AS len FROM lineitem), r AS (SELECT *, sum(len) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS e FROM d)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(e - len, 4) AS start_s, round(e, 4) AS end_s FROM r""",
     "timeline_length": "SELECT l_orderkey, round(sum(l_quantity / (1 + l_discount)), 4) AS body_s, count(*) AS segments FROM lineitem GROUP BY 1",
     "keep_frames": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity / (1 + l_discount) * 30)::BIGINT AS nf FROM lineitem",

@@ -33,8 +33,8 @@ def dq_unique(spark, sf_dir):
 
 
 def dq_monotone(spark, sf_dir):
-    d = load(spark, sf_dir, "events").select("event_id", "user_id", micros().alias("us"))
-    return out_of_order(d, "user_id", ["event_id"], "us").select("event_id", "before")
+    d = load(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    return out_of_order(d, "user_id", ["event_id"], "value").select("event_id", "before")
 
 
 def dq_strict(spark, sf_dir):
@@ -88,7 +88,7 @@ QUERIES = [dq_refs, dq_unique, dq_monotone, dq_strict, dq_ranges, dq_pair, dq_st
 ORACLES = {
     "dq_refs": "SELECT -l_orderkey - 1 AS ref, l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_returnflag <> 'R' AND l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
     "dq_unique": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
-    "dq_monotone": "WITH d AS (SELECT event_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT event_id, before FROM d WHERE before > us",
+    "dq_monotone": "WITH d AS (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT event_id, before FROM d WHERE before > value",
     "dq_strict": "WITH d AS (SELECT *, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber AS line FROM d WHERE b >= l_linenumber",
     "dq_ranges": """WITH r AS (SELECT unnest([CASE WHEN l_quantity > 45 THEN 'quantity over 45' END, CASE WHEN l_discount > 0.08::DOUBLE THEN 'discount over 0.08' END, CASE WHEN l_tax <= 0 THEN 'no tax' END, CASE WHEN l_returnflag NOT IN ('A', 'N', 'R') THEN 'unknown flag' END]) AS rule FROM lineitem)
 SELECT rule, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY 1""",
