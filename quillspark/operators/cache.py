@@ -75,7 +75,7 @@ def sentinel_kind(spark, sf_dir):
 
 def result_key(spark, sf_dir):
     """Result-cache keys from fixed fields; equal inputs share one."""
-    p = load(spark, sf_dir, "part").select(F.sha2(F.concat_ws("|", F.lit("media.scale"), F.lit("4"), "p_brand", F.col("p_size").cast("string")), 256).alias("key"))
+    p = load(spark, sf_dir, "part").select(F.sha2(F.concat_ws("|", F.lit("scale"), F.lit("4"), "p_brand", F.col("p_size").cast("string")), 256).alias("key"))
     return p.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
 
 
@@ -94,5 +94,5 @@ SELECT doc_id, source, bytes FROM t WHERE ok""",
 h AS (SELECT base, arg_max(prefix, page_id) AS holder FROM q GROUP BY 1) SELECT page_id, base, holder FROM q JOIN h USING (base) WHERE prefix <> holder""",
     "cache_get": "SELECT CASE WHEN lang <> 'en' THEN 'retained hit' WHEN length(text) = n_chars THEN 'hit' ELSE 'heal' END AS outcome, count(*) AS n FROM documents GROUP BY 1",
     "sentinel_kind": "SELECT CASE event_type WHEN 'click' THEN 'legacy' WHEN 'view' THEN 'size' ELSE 'corrupt' END AS kind, count(*) AS n FROM events GROUP BY 1",
-    "result_key": "SELECT sha256('media.scale|4|' || p_brand || '|' || p_size) AS key, count(*) AS uses FROM part GROUP BY 1",
+    "result_key": "SELECT sha256('scale|4|' || p_brand || '|' || p_size) AS key, count(*) AS uses FROM part GROUP BY 1",
 }
