@@ -41,9 +41,10 @@ NAMES = re.compile(
     r"(?:nav|navbar|navigation|menu|sidebar|side|footer|masthead|topbar|ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|promotion|banner"
     r"|cookie|cookies|consent|gdpr|notice|notices|notification|alert|comment|comments|disqus|respond|discussion|newsletter|subscribe|signup|share|sharing"
     r"|social|related|recommended|breadcrumb|breadcrumbs|popup|modal|overlay|toolbar|pagination|pager|widget|widgets|login|search)"
-    r"(?:[-_]?(?:container|box|wrapper|wrap|area|section|list|bar|inner|block|unit|slot|panel|thread|message|form|links|menu|\d+))?",
+    r"(?:[-_]?(?:container|box|wrapper|wrap|area|section|list|bar|inner|block|unit|slot|panel|thread|message|form|link|links|menu|item|items|left|right|top|bottom|body|text|title|head|footer|policy|count|content|\d+))?",
     re.I,
 )
+HEADERS = re.compile(r"(?:(?:site|global|top|main)[-_]?)?header", re.I)
 CLOSED_BY = {"p": BLOCKS - {"html", "body", "head", "title"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
 
 
@@ -68,14 +69,15 @@ class Lines(HTMLParser):
         self.line: Line | None = None
 
     def _left_out(self, tag: str, attrs: list) -> bool:
-        if tag in SKIP or tag == "header" and not (self.open and self.open[-1][3]):
+        inside = bool(self.open and self.open[-1][3])
+        if tag in SKIP or tag == "header" and not inside:
             return True
         if tag in ("html", "body", *ARTICLE):
             return False
         for k, v in attrs:
             if k == "hidden" or k == "role" and (v or "").lower() in ROLES:
                 return True
-            if k in ("class", "id") and any(NAMES.fullmatch(x) for x in (v or "").split()):
+            if k in ("class", "id") and any(NAMES.fullmatch(x) or not inside and HEADERS.fullmatch(x) for x in (v or "").split()):
                 return True
         return False
 
