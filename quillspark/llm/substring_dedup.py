@@ -81,7 +81,7 @@ def _contexts(length: int, gram: int):
     def run(batches):
         for b in batches:
             ids, tags, raw = b.column(0), b.column(1), b.column(2).cast(pa.binary())
-            for x, y in slices(pa.compute.binary_length(raw).to_pylist(), 3_000_000):
+            for x, y in slices(pa.compute.binary_length(raw).to_pylist(), 2_000_000):
                 docs = raw.slice(x, y - x).to_pylist()
                 parts = [docs] if sum(map(len, docs)) < 1 << 23 else None
                 if parts is None:  # one very long text: in pieces that share all strings at their borders
@@ -238,7 +238,7 @@ def _cut_out(length: int):
     return run
 
 
-def _sharded(length: int, most_bytes: int = 3_000_000):
+def _sharded(length: int, most_bytes: int = 2_200_000):
     """Repeats within each shard of contexts; the input comes sorted by (h, salt)."""
 
     def solve(rows: list[dict]):
