@@ -11,9 +11,10 @@ from .common import cut
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(v, c): each vertex of ``links`` (a, b) with the least vertex it reaches.
 
-    Alternating large-star and small-star rounds; each round is an aggregation
-    that combines map-side and one equi-join, written to the shared folder. It
-    ends when a round changes nothing. Links may repeat and be in either
+    Alternating large-star and small-star rounds; each half is an aggregation
+    that combines map-side, written to the shared folder, and an equi-join of
+    two shuffles, so Spark can split the partition of a vertex with very many
+    links. It ends when a round changes nothing. Links may repeat and be in either
     order; self-links give their vertex alone.
     """
     e = cut(
@@ -23,12 +24,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("m").alias("u"), F.col("u").alias("m")))
-        least = both.groupBy("u").agg(F.least(F.min("m"), F.col("u")).alias("r"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("m"), F.col("u")).alias("r")), "least")
         # large star: each greater neighbour hangs on the least vertex around u
         large = both.join(least, "u").where(F.col("m") > F.col("u")).select(F.col("m").alias("u"), F.col("r").alias("m"))
         large = large.unionByName(e.where(F.col("u") == F.col("m"))).distinct()
         # small star: u and its lesser neighbours hang on the least of them
-        low = large.groupBy("u").agg(F.min("m").alias("r"))
+        large = cut(large, "large")
+        low = cut(large.groupBy("u").agg(F.min("m").alias("r")), "low")
         small = large.join(low, "u").select("u", "m", "r")
         e = small.select(F.col("m").alias("u"), F.col("r").alias("m")).where(F.col("u") > F.col("m"))
         e = cut(e.unionByName(low.select("u", F.col("r").alias("m"))).distinct(), "links")

@@ -233,6 +233,7 @@ def near_duplicates(
     for least in (likely, floor):
         placed = members.join(comp, F.col("digest") == F.col("v"), "left").select("key", "digest", F.coalesce("c", "digest").alias("c"))
         split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
+        split = cut(split, "split")  # so that Spark can split a hot bucket's partition in the join
         left = cut(placed.join(split, "key", "left_semi").join(classes, "digest"), "placed")
         half = lambda x: left.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("digest", "c", "n", "rep", "bits", "bands")))
         both = half("a").join(half("b"), "key").withColumn("j", estimated("bitsa", "bitsb", longs))

@@ -81,7 +81,7 @@ def _contexts(length: int, gram: int):
     def run(batches):
         for b in batches:
             ids, tags, raw = b.column(0), b.column(1), b.column(2).cast(pa.binary())
-            for x, y in slices(pa.compute.binary_length(raw).to_pylist(), 2_000_000):
+            for x, y in slices(pa.compute.binary_length(raw).to_pylist(), 1_200_000):
                 docs = raw.slice(x, y - x).to_pylist()
                 parts = [docs] if sum(map(len, docs)) < 1 << 23 else None
                 if parts is None:  # one very long text: in pieces that share all strings at their borders
@@ -238,7 +238,7 @@ def _cut_out(length: int):
     return run
 
 
-def _sharded(length: int, most_bytes: int = 2_200_000):
+def _sharded(length: int, most_bytes: int = 1_600_000):
     """Repeats within each shard of contexts; the input comes sorted by (h, salt)."""
 
     def solve(rows: list[dict]):
@@ -346,10 +346,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, per_sha
     own = docs.select("doc_id", texts().alias("text"))
     own = own.withColumn("tag", F.md5(F.col("text").cast("binary")))
     found = cut(own.select("doc_id", "tag", "text").mapInArrow(_contexts(length, gram), "doc_id long, tag string, h long, c binary, start int, n int"), "contexts")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("h")
+    # written, so that the join below is one of two shuffles, whose hot partitions Spark splits
+    twice = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("h"), "twice")
     cand = cut(found.join(twice, "h"), "candidates")
     ctx = cut(cand.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "tag", "start", "n")).alias("at")), "distinct")
-    groups = ctx.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest")).where((F.col("kinds") > 1) & (F.col("fewest") == 1))
+    groups = cut(ctx.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest")).where((F.col("kinds") > 1) & (F.col("fewest") == 1)), "groups")
     salts = F.ceil(F.col("kinds") / per_shard).cast("int")
     asked = ctx.join(groups, "h").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int"))
     asked = asked.select("at.doc_id", "at.tag", F.struct("h", "c", "salt", "salts", "copies", "at.start", "at.n").alias("w"))
