@@ -48,12 +48,29 @@ HEADERS = re.compile(r"(?:(?:site|global|top|main)[-_]?)?header", re.I)
 CLOSED_BY = {"p": BLOCKS - {"html", "body", "head", "title"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
 
 
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Blocks that hold text of the container around them.
+TEXT_BLOCKS = HEADINGS | {"p", "li", "ul", "ol", "blockquote", "pre", "dl", "dt", "dd", "figure", "figcaption"}
+OUTSIDE = ("", 0, False, 0, 0, False)
+
+
+def ended(html: str) -> str:
+    """The page without a tag that never ends, and without a run of comments that never
+    end: the parser would look through the rest of the page for each of their starts."""
+    after = html.rfind("-->") + 1
+    if html.count("<!--", after) > 50:
+        html = html[: html.index("<!--", after)]
+    last = html.rfind(">") + 1
+    tail = re.search(r"<[A-Za-z/!?]", html[last:])
+    return html[: last + tail.start()] if tail else html
+
+
 class Line:
-    __slots__ = ("text", "tags", "linked", "article", "parent", "heading")
+    __slots__ = ("text", "tags", "linked", "article", "parent")
 
-    def __init__(self, article: int, parent: int, heading: bool):
+    def __init__(self, article: int, parent: int):
         self.text: list[str] = []
-        self.tags, self.linked, self.article, self.parent, self.heading = 1, 0, article, parent, heading
+        self.tags, self.linked, self.article, self.parent = 1, 0, article, parent
 
 
 class Lines(HTMLParser):
@@ -61,8 +78,8 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        #: (tag, number, left out, outermost article's number) of the open elements
-        self.open: list[tuple[str, int, bool, int]] = []
+        #: (tag, number, left out, outermost article's number, container's number, in a heading) of the open elements
+        self.open: list[tuple[str, int, bool, int, int, bool]] = []
         self.there: dict[str, int] = {}
         self.count = self.links = 0
         self.lines: list[Line] = []
@@ -83,8 +100,17 @@ class Lines(HTMLParser):
 
     def _push(self, tag: str, attrs: list) -> None:
         self.count += 1
-        up = self.open[-1] if self.open else ("", 0, False, 0)
-        self.open.append((tag, self.count, up[2] or self._left_out(tag, attrs), up[3] or (self.count if tag in ARTICLE else 0)))
+        up = self.open[-1] if self.open else OUTSIDE
+        self.open.append(
+            (
+                tag,
+                self.count,
+                up[2] or self._left_out(tag, attrs),
+                up[3] or (self.count if tag in ARTICLE else 0),
+                self.count if tag in BLOCKS - TEXT_BLOCKS else up[4],
+                tag in HEADINGS or up[5] and tag not in BLOCKS - TEXT_BLOCKS,
+            )
+        )
         self.there[tag] = self.there.get(tag, 0) + 1
 
     def _pop(self) -> None:
@@ -108,6 +134,8 @@ class Lines(HTMLParser):
 
     def _end_paragraph(self, tag: str) -> None:
         """An open paragraph ends at a block, whatever inline elements are open in it."""
+        if not self.there.get("p", 0):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             t = self.open[i][0]
             if t == "p" and tag in CLOSED_BY["p"]:
@@ -141,23 +169,16 @@ class Lines(HTMLParser):
             self._pop()
 
     def handle_data(self, data):
-        top = self.open[-1] if self.open else ("", 0, False, 0)
+        top = self.open[-1] if self.open else OUTSIDE
         if top[2]:
             return
         if self.line is None:
             if not data.strip():
                 return
-            parent, heading = 0, False
-            for t in reversed(self.open):
-                if t[0] in BLOCKS:
-                    heading = heading or t[0] in ("h1", "h2", "h3", "h4", "h5", "h6")
-                    if t[0] not in ("p", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dl", "dt", "dd", "figure", "figcaption"):
-                        parent = t[1]
-                        break
             in_header = top[3] and self.there.get("header", 0)
-            if in_header and not heading:  # of an article's own header, the headings
+            if in_header and not top[5]:  # of an article's own header, the headings
                 return
-            self.line = Line(top[3], parent, heading)
+            self.line = Line(top[3], top[4])
             self.lines.append(self.line)
         self.line.text.append(data)
         if self.links:
@@ -189,7 +210,7 @@ def threshold(values: np.ndarray) -> float:
 def main_text(html: str, sigma: float = 1.0) -> str:
     """The main text of one page; '' if there is none."""
     p = Lines()
-    p.feed(html)
+    p.feed(ended(html))
     p.close()
     lines = [(x, t) for x in p.lines if (t := " ".join("".join(x.text).split()))]
     if not lines:
