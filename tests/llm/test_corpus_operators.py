@@ -357,3 +357,8 @@ def test_empty_tables(spark):
     ):
         assert df.collect() == []
     assert len(decontaminate.contamination(frame(spark), bench).collect()) == len(rows())
+
+
+def test_pages_that_never_end():
+    for html, want in (("<p>a</p><a <a " * 1, "a"), ("<p>x" + "<!--" * 60, "x"), ("<p>1 < 2", "1 < 2"), ("<ul><li>x" * 3000, "\n".join("x" * 3000))):
+        assert html_extract.main_text(html) == want
