@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import cut, slices, texts
 
 #: Bytes: A-Z to a-z, all other ASCII but 0-9 and a-z to a space; the rest stays.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -153,7 +153,7 @@ SCHEMA = "doc_id long, n_words long, n_hit long, items array<bigint>, spans arra
 
 
 def item_blocks(benchmark: DataFrame, block: int):
-    """The test items in blocks of at most ``block`` items, each bounded for its broadcast.
+    """How many blocks of about ``block`` items the test set takes, and a function that reads one.
 
     Items are dealt by a hash of their row into as many blocks as their number and
     characters ask for; a block is read only when its turn comes.
@@ -161,9 +161,12 @@ def item_blocks(benchmark: DataFrame, block: int):
     items = benchmark.select("item_id", texts().alias("text"))
     n, size = items.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
     blocks = max(1, -(-n // block), -(-(size or 0) // (block * 2000)))
-    for k in range(blocks):
+
+    def of(k: int) -> list[tuple]:
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield [(r.item_id, r.text) for r in part.toLocalIterator()]
+        return [(r.item_id, r.text) for r in part.toLocalIterator()]
+
+    return blocks, of
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slack: int = 0, block: int = 20_000) -> DataFrame:
@@ -173,36 +176,50 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slack:
     Null and empty texts have no words. Items without words match nothing;
     repeated items count once by item_id; a null item_id counts as an item but
     is left out of id lists. Test sets beyond one block are matched block by
-    block, and the blocks' spans are merged per row.
+    block, and the blocks' spans are merged per row, so repeated rows, ids that
+    repeat with other texts and null ids each keep their own result. A window
+    that items of two blocks share counts in n_near for each.
     """
     d = docs.select("doc_id", texts().alias("text"))
-    found = [d.mapInArrow(_matched(TestSet(items, width), slack), SCHEMA) for items in item_blocks(benchmark, block)]
-    if len(found) == 1:
-        return found[0]
-    return _merged(docs, benchmark, found)
-
-
-def _merged(docs: DataFrame, benchmark: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """Union of blocks: spans and items of a doc_id together. Needs distinct doc_ids."""
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-
-    def run(key, pdf):
-        import pandas as pd
-
-        spans = sorted((s["start"], s["end"]) for x in pdf["spans"] for s in x)
-        out: list[list[int]] = []
-        for a, b in spans:
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], b)
-            else:
-                out.append([a, b])
-        items = sorted({int(i) for x in pdf["items"] for i in x if i is not None})
-        row = (key[0], int(pdf["n_words"].iloc[0]), sum(b - a for a, b in out), items, [{"start": a, "end": b} for a, b in out], int(pdf["n_near"].sum()))
-        return pd.DataFrame([row], columns=["doc_id", "n_words", "n_hit", "items", "spans", "n_near"])
-
-    return every.groupBy("doc_id").applyInPandas(run, SCHEMA)
+    blocks, of = item_blocks(benchmark, block)
+    if blocks == 1:
+        return d.mapInArrow(_matched(TestSet(of(0), width), slack), SCHEMA)
+    # row ids are written, so a task that runs again gives the same ones
+    d = cut(d.withColumn("row", F.monotonically_increasing_id()), "rows")
+    every = None
+    for k in range(blocks):
+        found = d.select(F.col("row").alias("doc_id"), "text").mapInArrow(_matched(TestSet(of(k), width), slack), SCHEMA)
+        # the first block speaks for rows without a match
+        found = cut(found if k == 0 else found.where((F.col("n_hit") > 0) | (F.col("n_near") > 0)), "block")
+        every = found if every is None else every.unionByName(found)
+    # at most one row of each block for a row
+    row = every.groupBy(F.col("doc_id").alias("of")).agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.sum("n_near").alias("n_near"),
+    )
+    own = d.select("row", "doc_id").join(row, F.col("row") == F.col("of"))
+    return own.select("doc_id", "n_words", "items", "spans", "n_near").mapInArrow(_merged, SCHEMA)
+
+
+def _merged(batches):
+    """Joins the sorted spans that touch, and counts the words under them."""
+    for b in batches:
+        hits, spans = [], []
+        for row in b.column("spans").to_pylist():
+            out: list[dict] = []
+            for s in row:
+                if out and s["start"] <= out[-1]["end"]:
+                    out[-1]["end"] = max(out[-1]["end"], s["end"])
+                else:
+                    out.append(s)
+            spans.append(out)
+            hits.append(sum(s["end"] - s["start"] for s in out))
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("n_words"), pa.array(hits, pa.int64()), b.column("items"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), b.column("n_near")],
+            ["doc_id", "n_words", "n_hit", "items", "spans", "n_near"],
+        )
 
 
 def digest_items(items) -> str:

@@ -151,9 +151,18 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contamination(frame(spark), bench).select("doc_id", "n_words", "n_hit", "items").collect()
     assert by_id(got) == sorted(want, key=str)
-    distinct = frame(spark, list({r[0]: r for r in rows()}.values()))
-    split = decontaminate.contamination(distinct, bench, block=2).select("doc_id", "n_words", "n_hit", "items").collect()
-    assert by_id(split) == by_id(decontaminate.contamination(distinct, bench).select("doc_id", "n_words", "n_hit", "items").collect())
+    for block in (1, 2):
+        split = decontaminate.contamination(frame(spark), bench, block=block).select("doc_id", "n_words", "n_hit", "items").collect()
+        assert by_id(split) == sorted(want, key=str)
+
+
+def test_blocks_of_items_give_the_same_spans(spark):
+    data = [(1, "p q alpha beta gamma delta r"), (1, "alpha beta gamma delta"), (1, "alpha beta gamma delta"), (None, "gamma delta"), (None, None), (2, "beta x gamma")]
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "gamma delta"), (None, "beta gamma"), (3, "delta r"), (4, "beta gamma delta")], "item_id long, text string")
+    one = decontaminate.contamination(frame(spark, data), bench, slack=1).collect()
+    assert len(one) == len(data)
+    for block in (1, 2, 3):
+        assert by_id(decontaminate.contamination(frame(spark, data), bench, slack=1, block=block).collect()) == by_id(one)
 
 
 def test_proximity(spark):
