@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
+from .sequential import keep_in_order
 
 
 def prune(slots: DataFrame, cap: Column, order: list, size: str, pinned: str | None = None, group: str | None = None) -> DataFrame:
@@ -35,20 +36,20 @@ def cache_prune_pinned(spark, sf_dir):
     return prune(_slots(spark, sf_dir), F.lit(60_000), ["doc_id"], "bytes", "pinned", "source").select("doc_id", "source", "bytes")
 
 
+def retained(slots: DataFrame, room: int, order: list[str], size: str, group: str) -> DataFrame:
+    """Greedy retention per ``group``: a slot is kept if it still fits ``room``; a refusal takes none of it."""
+
+    def decide(total, n):
+        ok = total + n <= room
+        return ok, total + n if ok else total
+
+    # what can never fit is dropped before the shuffle
+    return keep_in_order(slots.where(F.col(size) <= room), group, order, 0, decide, size)
+
+
 def cache_retained(spark, sf_dir):
-    """Greedy retention by source: a slot is kept if it still fits half of the cap; a refusal takes no room."""
-    slots = _slots(spark, sf_dir).select("doc_id", "source", "bytes")
-
-    def run(pdf):
-        total, keep = 0, []
-        pdf = pdf.sort_values("doc_id")
-        for n in pdf["bytes"]:
-            ok = total + n <= 30_000
-            total += n if ok else 0
-            keep.append(ok)
-        return pdf[keep]
-
-    return slots.groupBy("source").applyInPandas(run, "doc_id long, source string, bytes long")
+    """By source, half of the cap."""
+    return retained(_slots(spark, sf_dir).select("doc_id", "source", "bytes"), 30_000, ["doc_id"], "bytes", "source")
 
 
 def supersede(spark, sf_dir):

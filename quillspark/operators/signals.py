@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import load, seconds
+from .sequential import keep_in_order
 
 FLOOR = 1e-6
 
@@ -54,18 +55,12 @@ def local_peaks(df: DataFrame, key: str, order: str, value: str, share: float) -
 
 def refractory(peaks: DataFrame, key: str, t: str, gap: float) -> DataFrame:
     """Greedy in time: a peak counts if it lies ``gap`` beyond the last one that counts."""
-    schema = peaks.schema
-
-    def run(pdf):
-        pdf = pdf.sort_values(t)
-        last, keep = None, []
-        for x in pdf[t]:
-            ok = last is None or x - last >= gap
-            keep.append(ok)
-            last = x if ok else last
-        return pdf[keep]
-
-    return peaks.groupBy(key).applyInPandas(run, schema)
+
+    def decide(last, x):
+        ok = last is None or x - last >= gap
+        return ok, x if ok else last
+
+    return keep_in_order(peaks, key, [t], None, decide, t)
 
 
 def _samples(spark, sf_dir):

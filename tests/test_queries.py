@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import catalog
 from quillspark.functions.text import greedy_lines, redact
-from quillspark.operators.cache import prune
+from quillspark.operators.cache import prune, retained
 from quillspark.operators.intervals import complement, islands, tempo_factors
 from quillspark.operators.signals import refractory
 from quillspark.operators.stream import settled_prefix_of
@@ -70,6 +70,21 @@ def test_refractory_counts_from_the_last_accepted(spark):
     assert sorted(r.t for r in refractory(d, "k", "t", 4.0).collect()) == [0.0, 5.0, 9.0]
 
 
+def test_retention_goes_on_after_a_refusal_and_starts_anew_for_each_group(spark):
+    rows = [("a", 1, 6), ("a", 2, 5), ("a", 3, 4), ("a", 4, 1), ("b", 1, 11), ("b", 2, 10), (None, 1, 10), (None, 2, 1), ("c", 1, None)]
+    d = spark.createDataFrame(rows, "g string, id int, size int")
+    assert sorted((str(r.g), r.id) for r in retained(d, 10, ["id"], "size", "g").collect()) == [("None", 1), ("a", 1), ("a", 3), ("b", 2)]
+
+
+def test_retention_keeps_its_state_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        d = spark.range(100).selectExpr("'a' AS g", "id", "3L AS size")
+        assert sorted(r.id for r in retained(d, 100, ["id"], "size", "g").collect()) == list(range(33))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_tempo_factors_stay_in_range(spark):
     for r in spark.createDataFrame([(0.1,), (0.5,), (1.0,), (3.7,), (50.0,)], "s double").select("s", tempo_factors(F.col("s")).alias("f")).collect():
         assert all(0.5 <= x <= 2.0 for x in r.f) and math.isclose(math.prod(r.f), r.s)
