@@ -246,8 +246,9 @@ def near_duplicates(
         links = links.unionByName(more)
         comp = cut(components(links), "components")
 
-    of = classes.join(comp, F.col("digest") == F.col("v"), "left").select("digest", "rep", F.coalesce("c", "digest").alias("c"))
-    least_id = of.groupBy("c").agg(F.min("rep").alias("component_id"))
+    of = cut(classes.join(comp, F.col("digest") == F.col("v"), "left").select("digest", "rep", F.coalesce("c", "digest").alias("c")), "placed")
+    # written, so that Spark can split a hot component's partition in the join
+    least_id = cut(of.groupBy("c").agg(F.min("rep").alias("component_id")), "least")
     of = of.join(least_id, "c").select(F.col("digest").alias("of"), "component_id")
     out = sk.select("doc_id", "n_shingles", "digest").join(of, F.col("digest") == F.col("of"), "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
