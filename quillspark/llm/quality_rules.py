@@ -8,7 +8,11 @@ coordinate-wise median and quartile spread, then concentration steps take mean
 and covariance of the half of the rows that lie nearest. Each step is two
 aggregations that combine map-side; the half is found by a mergeable quantile
 sketch, so a group with a third of all rows is never gathered in one task.
-Groups of fewer than ``min_rows`` rows are pooled by language, then over all.
+The same fit is made per language and over all rows. A group is judged by its
+own estimate, shrunk towards its language's as if that stood for ``min_rows``
+rows in the covariance and for as many rows as there are statistics in the
+mean; a language's is shrunk towards that of all rows alike. So the weight of a
+group's own rows grows smoothly with their number; no count switches the method.
 """
 
 from __future__ import annotations
@@ -119,7 +123,7 @@ def _distance(names: list[str]) -> Column:
 
 
 def _fit(rows: DataFrame, key: str, steps: int, share: float, accuracy: int) -> DataFrame:
-    """key, n_rows, m_i and l_i_j of each group of ``rows``."""
+    """key, n_rows, m_i and c_i_j of each group of ``rows``."""
     names, p = list(FEATURES), len(FEATURES)
     floors = list(FEATURES.values())
     # start: medians and quartile spreads, no correlation
@@ -136,6 +140,7 @@ def _fit(rows: DataFrame, key: str, steps: int, share: float, accuracy: int) ->
     )
     at = cut(at, "mcd")
     factor, lower = _cholesky(p, names)
+    between = [f"c_{i}_{j}" for j in range(p) for i in range(j, p)]
     # consistency: the covariance of the nearest half understates that of a Gaussian
     correct = share / _chi2_cdf(_chi2_quantile(share, p), p + 2)
     rows = rows.withColumn("salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)))
@@ -152,8 +157,22 @@ def _fit(rows: DataFrame, key: str, steps: int, share: float, accuracy: int) ->
         at = at.withColumns({f"c_{i}_{i}": F.col(f"c_{i}_{i}") * correct + floors[i] ** 2 for i in range(p)} | {f"c_{i}_{j}": F.col(f"c_{i}_{j}") * correct for j in range(p) for i in range(j + 1, p)})
         for n, c in factor:
             at = at.withColumn(n, c)
-        at = cut(at.select(key, "n_rows", *(f"m_{i}" for i in range(p)), *lower), "mcd")
-    return at
+        at = cut(at.select(key, "n_rows", *(f"m_{i}" for i in range(p)), *between, *lower), "mcd")
+    return at.select(key, "n_rows", *(f"m_{i}" for i in range(p)), *between)
+
+
+def _shrunk(own: DataFrame, wider: DataFrame, on: str, weight: float) -> DataFrame:
+    """``own`` with covariances shrunk towards those of ``wider``, which count as
+    ``weight`` rows, and means likewise, where they count as one row a statistic."""
+    p = len(FEATURES)
+    means, spreads = [f"m_{i}" for i in range(p)], [f"c_{i}_{j}" for j in range(p) for i in range(j, p)]
+    d = own.join(wider.select(F.col("g").alias(on), *(F.col(v).alias(f"w{v}") for v in means + spreads)), on)
+
+    def mix(v: str, rows: float) -> Column:
+        w = F.col("n_rows") / (F.col("n_rows") + F.lit(float(rows)))
+        return (w * F.col(v) + (1 - w) * F.col(f"w{v}")).alias(v)
+
+    return d.select("g", "n_rows", *(mix(v, p) for v in means), *(mix(v, weight) for v in spreads))
 
 
 def _chi2_cdf(x: float, k: int) -> float:
@@ -178,7 +197,7 @@ def _chi2_quantile(q: float, k: int) -> float:
 
 def quality_rules(
     docs: DataFrame,
-    min_rows: int = 400,
+    min_rows: int = 100,
     steps: int = 3,
     share: float = 0.5,
     keep_quantile: float = 0.9999,
@@ -187,7 +206,8 @@ def quality_rules(
     """One row per row of ``docs``: counts, base_failed, distance, kept.
 
     kept is false where base_failed; else where the squared distance to the
-    group's estimate exceeds the chi-squared quantile ``keep_quantile``.
+    group's estimate exceeds the chi-squared quantile ``keep_quantile``. At
+    ``min_rows`` rows a group's own covariance and its language's weigh the same.
     Null texts have no words and fail the base rule. Null lang or source form
     groups of their own. Repeated rows are judged each. Empty tables give none.
     """
@@ -196,21 +216,17 @@ def quality_rules(
     lang, source = F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00"))
     full = F.concat_ws("\x01", F.lit("g"), lang, source)
     by_lang = F.concat_ws("\x01", F.lit("l"), lang)
-    # a row is counted at the finest level that has enough rows
-    n_full = usable.groupBy(full.alias("g_full"), by_lang.alias("g_lang")).agg(F.count(F.lit(1)).alias("n"))
-    small = n_full.withColumn("own", F.col("n") >= min_rows)
-    n_lang = small.where(~F.col("own")).groupBy("g_lang").agg(F.sum("n").alias("n_l"))
-    keys = cut(
-        small.join(n_lang, "g_lang", "left").select(
-            "g_full",
-            F.when(F.col("own"), F.col("g_full")).when(F.col("n_l") >= min_rows, F.col("g_lang")).otherwise(F.lit("all")).alias("g"),
-        ),
-        "groups",
-    )
-    rows = usable.withColumn("g_full", full).join(keys, "g_full").select("g", *FEATURES)
+    rows = usable.select(F.explode(F.array(full, by_lang, F.lit("all"))).alias("g"), *FEATURES)
     at = _fit(rows, "g", steps, share, accuracy)
+    # a group's key holds its language's
+    langs = _shrunk(at.where(F.col("g").startswith("l\x01")).withColumn("up", F.lit("all")), at, "up", min_rows)
+    up = F.concat_ws("\x01", F.lit("l"), F.split("g", "\x01")[1])
+    at = _shrunk(at.where(F.col("g").startswith("g\x01")).withColumn("up", up), langs, "up", min_rows)
+    for n, c in _cholesky(len(FEATURES), list(FEATURES))[0]:
+        at = at.withColumn(n, c)
+    at = cut(at.drop("n_rows"), "mcd")
     limit = _chi2_quantile(keep_quantile, len(FEATURES))
-    out = f.withColumn("g_full", full).join(keys, "g_full", "left").join(at, "g", "left")
+    out = f.withColumn("g", full).join(at, "g", "left")
     distance = F.when(F.col("base_failed"), F.lit(None)).otherwise(_distance(list(FEATURES)))
     return out.withColumn("distance", distance).select(
         "doc_id",

@@ -69,6 +69,29 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert not any(got[i] for i, _ in bad)
 
 
+def test_small_groups_are_judged_by_themselves(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9)))
+    plain = lambda: " ".join(word() for _ in range(120))
+    loud = lambda: " ".join(word().upper() + "**" if rnd.random() < 0.6 else word() for _ in range(120))
+    data = [(i, plain(), "en", "small") for i in range(190)] + [(500 + i, loud(), "en", "loud") for i in range(300)] + [(900 + i, loud(), "en", "small") for i in range(10)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i] for i in got if i >= 900)  # the language's other source is full of the like
+    assert sum(got[i] for i in got if i < 900) >= 0.97 * 490
+
+
+def test_no_count_of_rows_switches_the_method(spark):
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9)))
+    data = [(i, " ".join(word() + "*" * (i % 4) if i <= 400 else word().upper() for _ in range(100)), "en", "s" if i <= 400 else "other") for i in range(700)]
+    far = []
+    for n in (399, 400):
+        rows_ = [r for r in data if r[3] == "other" or r[0] < n]
+        docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string")
+        far.append({r.doc_id: r.distance for r in quality_rules.quality_rules(docs).collect()})
+    assert all(abs(far[0][i] - far[1][i]) <= 0.1 + 0.1 * far[1][i] for i in far[0])
+
+
 def test_chi_squared():
     assert quality_rules._chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
 
