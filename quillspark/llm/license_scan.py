@@ -1,11 +1,13 @@
-"""License notices in texts: winnowed fingerprints, then banded alignment.
+"""License notices in texts: winnowed fingerprints, then banded alignments, chained.
 
 The templates' word k-gram hashes are winnowed: of each window of hashes the
 least is kept, so any shared run of words as long as a window holds a kept one.
+Of templates of fewer than ``SHORT`` words, every pair of words is a fingerprint.
 An inverted index maps these fingerprints to (template, place). A text's k-gram
 hashes are looked up in it by binary search; each hit names a template and a
 diagonal. A banded local alignment of words around the diagonals of a
-candidate gives the matched share of the template and the span in the text.
+candidate gives a matched piece of the template and its span in the text;
+pieces that follow each other in both are summed, whatever stands between them.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ TEMPLATES = {
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 GRAM, WINDOW, SEED = 3, 3, 20_240_317
+#: Templates of fewer words are found by every run of SHORT_GRAM words.
+SHORT, SHORT_GRAM = 12, 2
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -60,13 +64,13 @@ def word_hashes(text: bytes, words: WordHash) -> np.ndarray:
     return np.fromiter(map(words.__getitem__, ws), np.uint64, len(ws))
 
 
-def gram_hashes(h: np.ndarray) -> np.ndarray:
-    if len(h) < GRAM:
+def gram_hashes(h: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    if len(h) < gram:
         return np.zeros(0, np.uint64)
-    mult = odd_multipliers(GRAM, SEED)
-    out = h[: len(h) - GRAM + 1] * mult[0]
-    for k in range(1, GRAM):
-        out = out + h[k : len(h) - GRAM + 1 + k] * mult[k]
+    mult = odd_multipliers(gram, SEED)
+    out = h[: len(h) - gram + 1] * mult[0]
+    for k in range(1, gram):
+        out = out + h[k : len(h) - gram + 1 + k] * mult[k]
     return mix64(out)
 
 
@@ -79,31 +83,40 @@ def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 class Index:
-    """Fingerprint -> (template, place), as sorted arrays."""
+    """Fingerprint -> (template, place), as sorted arrays for each length of gram."""
 
     def __init__(self, templates: dict[str, str], words: WordHash):
         self.names = list(templates)
         self.words = [word_hashes(t.encode(), words) for t in templates.values()]
-        keys, ids, places = [], [], []
-        for k, w in enumerate(self.words):
-            g = gram_hashes(w)
-            at = winnow(g)
-            keys.append(g[at]), ids.append(np.full(len(at), k)), places.append(at)
-        key = np.concatenate([*keys, np.zeros(0, np.uint64)])
-        order = np.argsort(key, kind="stable")
-        self.key, self.template, self.place = key[order], np.concatenate([*ids, np.zeros(0, np.int64)])[order].astype(np.int64), np.concatenate([*places, np.zeros(0, np.int64)])[order].astype(np.int64)
-
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(template, diagonal) of each place where a text's gram is a fingerprint."""
-        lo, hi = np.searchsorted(self.key, grams), np.searchsorted(self.key, grams, "right")
-        at = np.flatnonzero(hi > lo)
-        n = (hi - lo)[at]
-        entry = np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return self.template[entry], np.repeat(at, n) - self.place[entry]
-
-
-def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """(matched words, start, end) of the best local alignment with diagonals in [low, high].
+        self.parts = []
+        for gram in (GRAM, SHORT_GRAM):
+            keys, ids, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k, w in enumerate(self.words):
+                if (len(w) < SHORT) == (gram == SHORT_GRAM):
+                    g = gram_hashes(w, gram)
+                    at = winnow(g) if gram == GRAM else np.arange(len(g))
+                    keys.append(g[at]), ids.append(np.full(len(at), k)), places.append(at)
+            key = np.concatenate(keys)
+            order = np.argsort(key, kind="stable")
+            if len(order):
+                self.parts.append((gram, key[order], np.concatenate(ids)[order], np.concatenate(places)[order]))
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(template, diagonal) of each place where a gram of a text's words is a fingerprint."""
+        of, diagonals = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for gram, key, template, place in self.parts:
+            grams = gram_hashes(h, gram)
+            lo = np.searchsorted(key, grams)
+            at = np.flatnonzero(key[np.minimum(lo, len(key) - 1)] == grams)
+            lo = lo[at]
+            n = np.searchsorted(key, grams[at], "right") - lo
+            entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            of.append(template[entry]), diagonals.append(np.repeat(at, n) - place[entry])
+        return np.concatenate(of), np.concatenate(diagonals)
+
+
+def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int, int, int]:
+    """(matched words, start, end, start and end in the template) of the best local alignment with diagonals in [low, high].
 
     A match scores 2, a mismatch or gap -1. Row i of the band holds the text
     places i + low .. i + high.
@@ -112,14 +125,14 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
     score = np.zeros(width + 2, np.int64)  # padded: index d + 1 for diagonal low + d
     begin = np.full(width + 2, -1, np.int64)
     match = np.zeros(width + 2, np.int64)
-    best = (0, 0, 0, 0)
+    best = (0, 0, 0, 0, 0)
     d = np.arange(width)
     for i in range(len(template)):
         j = i + low + d
         inside = (j >= 0) & (j < len(text))
         same = inside & (text[np.clip(j, 0, len(text) - 1)] == template[i])
         s = score[1:-1] + np.where(same, 2, -1)
-        m, b = match[1:-1] + same, np.where((score[1:-1] > 0) | ~same, begin[1:-1], j)
+        m, b = match[1:-1] + same, np.where((score[1:-1] > 0) | ~same, begin[1:-1], j + (i << 40))
         up = score[2:] - 1  # the template word is missing in the text
         take = up > s
         s, m, b = np.where(take, up, s), np.where(take, match[2:], m), np.where(take, begin[2:], b)
@@ -132,8 +145,9 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
         score[1:-1], match[1:-1], begin[1:-1] = s, m, b
         k = int(s.argmax())
         if s[k] > best[0]:
-            best = (int(s[k]), int(m[k]), int(b[k]), int(j[k]) + 1)
-    return best[1], best[2], best[3]
+            best = (int(s[k]), int(m[k]), int(b[k]), int(j[k]) + 1, i + 1)
+    _, matched, at, end, last = best
+    return matched, at & (1 << 40) - 1, end, at >> 40, last
 
 
 def _bands(diagonals: np.ndarray, slack: int) -> list[tuple[int, int]]:
@@ -143,6 +157,49 @@ def _bands(diagonals: np.ndarray, slack: int) -> list[tuple[int, int]]:
     return [(int(g[0]) - slack, int(g[-1]) + slack) for g in np.split(d, cut + 1)]
 
 
+def chains(pieces: list[tuple[int, int, int, int, int]], least: float) -> list[tuple[int, int, int]]:
+    """(matched words, start, end) of the notices that ``pieces`` of one template make up.
+
+    A chain's pieces follow each other in the text and in the template. Where two
+    overlap, by half of the smaller one at most, the overlap counts once. Of all
+    chains the one that matches most is taken, the shortest of equals, and so on
+    with the pieces left, while a chain matches ``least`` words.
+    """
+    out = []
+    left = np.array(sorted((p for p in pieces if p[0]), key=lambda p: (p[1], p[2])), np.int64).reshape(-1, 5)
+    while len(left):
+        matched, start, end, first, last = left.T
+        edges = np.zeros(int(last.max()) + 1, np.int64)
+        np.add.at(edges, first, 1), np.add.at(edges, last, -1)
+        if (np.cumsum(edges) > 0).sum() < least:
+            break
+        # of the best chain to each piece: words, where it starts, and the piece before
+        total, begin, before = matched.copy(), start.copy(), np.full(len(left), -1)
+        for i in range(1, len(left)):
+            shared = np.maximum(np.maximum(end[:i] - start[i], last[:i] - first[i]), 0)
+            fits = (first[:i] < first[i]) & (last[:i] < last[i]) & (start[:i] < start[i]) & (end[:i] < end[i])
+            k = np.flatnonzero(fits & (2 * shared <= np.minimum(matched[:i], matched[i])))
+            if len(k):
+                words = total[k] + matched[i] - shared[k]
+                to = np.lexsort((begin[k], words))[-1]
+                if words[to] > matched[i]:
+                    total[i], begin[i], before[i] = words[to], begin[k[to]], k[to]
+        used = np.zeros(len(left), bool)
+        for i in np.lexsort((start, end - begin, -total)).tolist():
+            chain, k = [], i
+            while k >= 0:
+                chain.append(k)
+                k = before[k]
+            if total[i] < least or used[chain].any():  # what used pieces have reached is to be found anew
+                break
+            used[chain] = True
+            out.append((int(total[i]), int(begin[i]), int(end[i])))
+        if not used.any():
+            break
+        left = left[~used]
+    return out
+
+
 def _scanned(templates: dict[str, str], coverage: float, slack: int):
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -155,19 +212,18 @@ def _scanned(templates: dict[str, str], coverage: float, slack: int):
                 out = []
                 for text in raw.slice(x, y - x).to_pylist():
                     h = word_hashes(text, words)
-                    t, diag = index.hits(gram_hashes(h))
+                    t, diag = index.hits(h)
                     found = []
                     if len(t):
                         places = None
                         for k in np.unique(t).tolist():
                             w = index.words[k]
-                            for low, high in _bands(diag[t == k], slack):
-                                m, s, e = align(w, h, low, high)
-                                if m >= coverage * len(w):
-                                    if places is None:
-                                        places = [(p.start(), p.end()) for p in WORD.finditer(text)]
-                                    chars = len(text[: places[s][0]].decode()), len(text[: places[e - 1][1]].decode())
-                                    found.append({"license": index.names[k], "coverage": m / len(w), "matched": m, "start": chars[0], "end": chars[1]})
+                            pieces = [align(w, h, low, high) for low, high in _bands(diag[t == k], slack)]
+                            for m, s, e in chains(pieces, coverage * len(w)):
+                                if places is None:
+                                    places = [(p.start(), p.end()) for p in WORD.finditer(text)]
+                                chars = len(text[: places[s][0]].decode()), len(text[: places[e - 1][1]].decode())
+                                found.append({"license": index.names[k], "coverage": m / len(w), "matched": m, "start": chars[0], "end": chars[1]})
                     out.append(sorted(found, key=lambda f: (f["start"], f["end"], f["license"])))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(map(len, out), pa.int64()), pa.array(out, kind)], ["doc_id", "n_licenses", "found"])
 
@@ -176,10 +232,10 @@ def _scanned(templates: dict[str, str], coverage: float, slack: int):
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.7, slack: int = 4) -> DataFrame:
     """doc_id, n_licenses and found (license, coverage, matched words, start, end in
-    characters) of each row of ``docs``: alignments that match ``coverage`` of a template.
+    characters) of each row of ``docs``: chains of alignments that match ``coverage`` of a template.
 
     Null and empty texts find nothing. Rows stay as they are, repeated or not.
-    A notice found twice in a text is listed twice; one diagonal band gives one.
+    A notice found twice in a text is listed twice; one diagonal band gives one piece.
     """
     schema = "doc_id long, n_licenses long, found array<struct<license:string,coverage:double,matched:bigint,start:bigint,end:bigint>>"
     return docs.select("doc_id", texts().alias("text")).mapInArrow(_scanned(TEMPLATES if templates is None else templates, coverage, slack), schema)

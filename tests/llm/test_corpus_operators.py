@@ -376,6 +376,27 @@ def test_licenses(spark):
     assert [f[0] for f in got[6]] == ["cc-by-nc-4.0-line"] * 2
 
 
+def test_licenses_with_words_put_in_or_left_out(spark):
+    gpl = license_scan.TEMPLATES["gpl-3.0"]
+    ws, extra = gpl.split(), " ".join(f"foreign{i}" for i in range(40))
+    split = f"{' '.join(ws[:40])} {extra} {' '.join(ws[40:])}"
+    three = f"{' '.join(ws[:25])} {extra} {' '.join(ws[25:50])} {extra} {' '.join(ws[50:])}"
+    data = [(1, "é " + split + " end"), (2, f"{gpl} and {split}"), (3, " ".join(ws[:30] + ws[42:])), (4, three), (5, " ".join(ws[40:] + extra.split() + ws[:40])), (6, f"{split} | {split}")]
+    data += [(7, f"{split} | " * 300)]
+    data += [(10, "Released under a MIT License."), (11, "Released under the new MIT License."), (12, "Released by us under the law")]
+    got = {r.doc_id: [f for f in r.found] for r in license_scan.scan_licenses(frame(spark, data)).collect()}
+    assert [(f.license, f.coverage, f.start, f.end) for f in got[1]] == [("gpl-3.0", 1.0, 2, 2 + len(split) - 1)]
+    assert [(f.license, f.coverage, f.start) for f in got[2]] == [("gpl-3.0", 1.0, 0), ("gpl-3.0", 1.0, len(gpl) + 5)]
+    n = len(license_scan.word_hashes(gpl.encode(), license_scan.WordHash()))
+    assert [f.license for f in got[3]] == ["gpl-3.0"] and abs(got[3][0].matched - (n - 12)) <= 1
+    assert [(f.license, f.coverage) for f in got[4]] == [("gpl-3.0", 1.0)]
+    assert got[5] == []
+    assert [(f.license, f.coverage, f.start) for f in got[6]] == [("gpl-3.0", 1.0, 0), ("gpl-3.0", 1.0, len(split) + 3)]
+    assert [(f.coverage, f.start) for f in got[7]] == [(1.0, k * (len(split) + 3)) for k in range(300)]
+    assert [(f.license, f.matched) for f in got[10]] == [("mit-line", 4)] and [(f.license, f.matched) for f in got[11]] == [("mit-line", 5)]
+    assert got[12] == []
+
+
 def test_empty_tables(spark):
     import public_tokenizers
 
