@@ -123,6 +123,18 @@ def test_near_duplicates(spark):
         assert (r.n_shingles, r.component_id, r.kept) == (len(one[r.doc_id]), root(r.doc_id), root(r.doc_id) == r.doc_id)
 
 
+def test_short_texts_at_the_very_threshold_are_linked(spark):
+    data = []
+    for k in range(150):  # 3 of 4 shingles are shared
+        text = " ".join(f"w{k}x{j}" for j in range(7))
+        data += [(2 * k, text), (2 * k + 1, text + " more")]
+    for k in range(150, 200):  # 6 of 8
+        text = " ".join(f"w{k}x{j}" for j in range(10))
+        data += [(2 * k, text), (2 * k + 1, text + " and more")]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, data)).collect()}
+    assert got == {i: i - i % 2 for i, _ in data}
+
+
 def test_near_duplicates_with_null_ids(spark):
     got = near_dup.near_duplicates(frame(spark, [(None, "a b c d e f"), (7, "a b c d e f"), (None, "z"), (None, "z")])).collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("7", "7", True), ("None", "7", False), ("None", "None", True), ("None", "None", True)]
