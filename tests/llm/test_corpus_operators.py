@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -425,5 +426,40 @@ def test_empty_tables(spark):
 
 
 def test_pages_that_never_end():
-    for html, want in (("<p>a</p><a <a " * 1, "a"), ("<p>x" + "<!--" * 60, "x"), ("<p>1 < 2", "1 < 2"), ("<ul><li>x" * 3000, "\n".join("x" * 3000))):
+    for html, want in (("<p>a</p><a <a " * 1, "a"), ("<p>1 < 2", "1 < 2"), ("<ul><li>x" * 3000, "\n".join("x" * 3000)), ("<p>a<!doctype <b", "a"), ("<p>a<?x", "a")):
         assert html_extract.main_text(html) == want
+    for n in (1, 2, 50, 51, 400):  # a comment without an end goes on to the end of the page
+        assert html_extract.main_text("<article><p>x" + "<!-- c<p>tail" * n) == "x"
+        assert html_extract.main_text(f"<script>{'<!-- ' * n}</script><article><p>x</p></article>") == "x"
+    assert html_extract.main_text("<p>a<!-->b<!--->c<!-- > --!>d") == "abcd"
+
+
+def test_ratio_smoothing_and_threshold_decide():
+    import numpy as np
+
+    rnd = random.Random(14)
+    for _ in range(20):
+        v = [rnd.choice((0, 3, 40, 90)) * rnd.random() for _ in range(rnd.randint(1, 30))]
+        w = [[math.exp(-0.5 * (i - j) ** 2) if abs(i - j) <= 3 else 0 for j in range(len(v))] for i in range(len(v))]
+        want = [sum(a * b for a, b in zip(r, v)) / sum(r) for r in w]
+        smooth = html_extract.smoothed(np.array(v), 1.0)
+        assert smooth == pytest.approx(want)
+        border = html_extract.threshold(smooth)  # no value is nearer to the other cluster's mean
+        low, high = [x for x in want if x < border], [x for x in want if x >= border]
+        if low and high:
+            assert all(abs(x - sum(low) / len(low)) <= abs(x - sum(high) / len(high)) + 1e-6 for x in low)
+    prose, bar = "<p>" + "word " * 60 + "</p>", "<div>" + "".join(f"<span>s{i}</span>" for i in range(30)) + "</div>"
+    text = " ".join(["word"] * 60)
+    page = f"<nav><a href=x>Home</a></nav><div>Buy it</div><article>{prose * 4}<p>Short.</p>{bar * 9}{prose * 4}</article><footer>me</footer>"
+    found = html_extract.main_text(page).split("\n")
+    assert [x for x in found if not x.startswith("s0s1")] == [text] * 4 + ["Short."] + [text] * 4
+    assert len(found) <= 11  # of nine bars in the article, those between bars go
+    everything = html_extract.main_text(page, border=lambda values: 0.0)
+    assert everything.split("\n")[:2] == ["Home", "Buy it"] and everything.count("s0s1") == 9 and everything.endswith("me")
+    bare = f"<div><a>one</a> <a>two</a></div><div>Buy it</div><div>{prose * 3}<p>End.</p></div><div>{bar}</div>"
+    assert html_extract.main_text(bare) == "\n".join([text] * 3 + ["End."])
+
+
+def test_a_very_long_page():
+    page = "<article>" + "<p>word &amp; <b>bold</b></p>" * 100_000 + "</article>"
+    assert html_extract.main_text(page) == "\n".join(["word & bold"] * 100_000)
