@@ -3,11 +3,16 @@
 Everything here is DataFrame code. The text is read once; the counts go to a
 narrow table in the shared folder, and all passes of the estimator run on that.
 
-Minimum covariance determinant, per (lang, source): the start is the
-coordinate-wise median and quartile spread, then concentration steps take mean
-and covariance of the half of the rows that lie nearest. Each step is two
+Minimum covariance determinant, per (lang, source): there are three starts
+about the coordinate-wise median (quartile spreads; covariances of hyperbolic
+tangents; spatial signs). Concentration steps take mean and covariance of the half
+of the rows that lie nearest; after ``steps`` of them, the start whose covariance
+has the least determinant goes on for ``more`` steps; that is the least of three
+local minima, not proven to be the least of all halves. Each step is two
 aggregations that combine map-side; the half is found by a mergeable quantile
-sketch, so a group with a third of all rows is never gathered in one task.
+sketch, so a group with a third of all rows is never gathered in one task. The
+sketch is exact up to ``accuracy`` rows in a group; beyond, the half's share is off by
+1 / ``accuracy`` at most, so of 2,000 rows one more or less may count.
 The same fit is made per language and over all rows. A group is judged by its
 own estimate, shrunk towards its language's as if that stood for ``min_rows``
 rows in the covariance and for as many rows as there are statistics in the
@@ -122,43 +127,78 @@ def _distance(names: list[str]) -> Column:
     return total
 
 
-def _fit(rows: DataFrame, key: str, steps: int, share: float, accuracy: int) -> DataFrame:
-    """key, n_rows, m_i and c_i_j of each group of ``rows``."""
-    names, p = list(FEATURES), len(FEATURES)
-    floors = list(FEATURES.values())
-    # start: medians and quartile spreads, no correlation
+#: Starts of the concentration steps.
+STARTS = ("spread", "tanh", "sign")
+
+
+def _spread_out(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+
+
+def _starts(rows: DataFrame, key: str, accuracy: int) -> DataFrame:
+    """key, start, n_rows, m_i and c_i_j of each group's starts."""
+    names, floors = list(FEATURES), list(FEATURES.values())
+    p = len(names)
+    pairs = [(i, j) for j in range(p) for i in range(j, p)]
     quart = rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_rows"),
         *(F.percentile_approx(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy).alias(f"q_{i}") for i, n in enumerate(names)),
     )
     spread = lambda i: F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(floors[i]))
-    at = quart.select(
-        key,
-        "n_rows",
-        *(F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)),
-        *((spread(i) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for j in range(p) for i in range(j, p)),
+    at = cut(quart.select(key, "n_rows", *(F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)), *(spread(i).alias(f"s_{i}") for i in range(p))), "mcd")
+    z = rows.join(_spread_out(at), [key, "salt"]).withColumns({f"z_{i}": (F.col(n) - F.col(f"m_{i}")) / F.col(f"s_{i}") for i, n in enumerate(names)})
+    z = z.withColumn("far", F.greatest(sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(p)), F.lit(0.0)), F.lit(1e-12)))
+    tanh = {(i, j): F.covar_pop(F.tanh(f"z_{i}"), F.tanh(f"z_{j}")) for i, j in pairs}
+    sign = {(i, j): F.avg(F.col(f"z_{i}") * F.col(f"z_{j}") / F.col("far")) * p for i, j in pairs}
+    found = z.groupBy(key).agg(
+        F.struct(*((F.lit(1.0) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in pairs)).alias("spread"),
+        *(F.struct(*(c[i, j].alias(f"c_{i}_{j}") for i, j in pairs)).alias(k) for k, c in (("tanh", tanh), ("sign", sign))),
     )
-    at = cut(at, "mcd")
-    factor, lower = _cholesky(p, names)
-    between = [f"c_{i}_{j}" for j in range(p) for i in range(j, p)]
+    found = found.select(F.col(key).alias("of"), F.explode(F.array(*(F.struct(F.lit(k).alias("start"), F.col(k).alias("c")) for k in STARTS))).alias("x"))
+    found = at.join(found, F.col(key) == F.col("of"))
+    scaled = lambda i, j: F.col(f"x.c.c_{i}_{j}") * F.col(f"s_{i}") * F.col(f"s_{j}") + (floors[i] ** 2 if i == j else 0.0)
+    return found.select(key, "x.start", "n_rows", *(f"m_{i}" for i in range(p)), *(scaled(i, j).alias(f"c_{i}_{j}") for i, j in pairs))
+
+
+def _concentrated(rows: DataFrame, at: DataFrame, key: str, share: float, accuracy: int) -> DataFrame:
+    """Mean and covariance of the nearest rows, for each of the estimates ``at`` of a group."""
+    names, floors = list(FEATURES), list(FEATURES.values())
+    p = len(names)
     # consistency: the covariance of the nearest half understates that of a Gaussian
     correct = share / _chi2_cdf(_chi2_quantile(share, p), p + 2)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)))
-    spread_out = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    for n, c in _cholesky(p, names)[0]:
+        at = at.withColumn(n, c)
+    lower = [f"l_{i}_{j}" for j in range(p) for i in range(j, p)]
+    far = rows.join(_spread_out(at.select(key, "start", "n_rows", *(f"m_{i}" for i in range(p)), *lower)), [key, "salt"]).withColumn("d", _distance(names))
+    near = far.groupBy(key, "start").agg(F.percentile_approx("d", F.lit(share), accuracy).alias("cut_d"))
+    half = far.select(key, "start", "salt", "n_rows", "d", *names).join(_spread_out(near), [key, "start", "salt"]).where(F.col("d") <= F.col("cut_d"))
+    out = half.groupBy(key, "start").agg(
+        F.max("n_rows").alias("n_rows"),
+        *(F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)),
+        *(F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for j in range(p) for i in range(j, p)),
+    )
+    return out.withColumns({f"c_{i}_{j}": F.col(f"c_{i}_{j}") * correct + (floors[i] ** 2 if i == j else 0.0) for j in range(p) for i in range(j, p)})
+
+
+def _fit(rows: DataFrame, key: str, steps: int, more: int, share: float, accuracy: int) -> DataFrame:
+    """key, n_rows, m_i, c_i_j, and the start that won, of each group of ``rows``."""
+    p = len(FEATURES)
+    # a row's statistics choose its salt, so that a hot group is dealt over many tasks
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)))
+    at = cut(_starts(rows, key, accuracy), "mcd")
     for _ in range(steps):
-        far = rows.join(spread_out(at), [key, "salt"]).withColumn("d", _distance(names))
-        near = far.groupBy(key).agg(F.percentile_approx("d", F.lit(share), accuracy).alias("cut_d"))
-        half = far.select(key, "salt", "n_rows", "d", *names).join(spread_out(near), [key, "salt"]).where(F.col("d") <= F.col("cut_d"))
-        at = half.groupBy(key).agg(
-            F.max("n_rows").alias("n_rows"),
-            *(F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)),
-            *(F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for j in range(p) for i in range(j, p)),
-        )
-        at = at.withColumns({f"c_{i}_{i}": F.col(f"c_{i}_{i}") * correct + floors[i] ** 2 for i in range(p)} | {f"c_{i}_{j}": F.col(f"c_{i}_{j}") * correct for j in range(p) for i in range(j + 1, p)})
-        for n, c in factor:
-            at = at.withColumn(n, c)
-        at = cut(at.select(key, "n_rows", *(f"m_{i}" for i in range(p)), *between, *lower), "mcd")
-    return at.select(key, "n_rows", *(f"m_{i}" for i in range(p)), *between)
+        at = cut(_concentrated(rows, at, key, share, accuracy), "mcd")
+    det = at
+    for n, c in _cholesky(p, list(FEATURES))[0]:
+        det = det.withColumn(n, c)
+    det = det.withColumn("log_det", F.round(sum((F.log(F.col(f"l_{i}_{i}")) for i in range(p)), F.lit(0.0)), 9))
+    columns = [c for c in at.columns if c != key]
+    # the least determinant; of equals the first start by name
+    best = det.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct("log_det", "start")).alias("x"))
+    at = cut(best.select(key, "x.*"), "mcd")
+    for _ in range(more):
+        at = cut(_concentrated(rows, at, key, share, accuracy), "mcd")
+    return at
 
 
 def _shrunk(own: DataFrame, wider: DataFrame, on: str, weight: float) -> DataFrame:
@@ -198,7 +238,8 @@ def _chi2_quantile(q: float, k: int) -> float:
 def quality_rules(
     docs: DataFrame,
     min_rows: int = 100,
-    steps: int = 3,
+    steps: int = 2,
+    more: int = 2,
     share: float = 0.5,
     keep_quantile: float = 0.9999,
     accuracy: int = 2000,
@@ -209,7 +250,9 @@ def quality_rules(
     group's estimate exceeds the chi-squared quantile ``keep_quantile``. At
     ``min_rows`` rows a group's own covariance and its language's weigh the same.
     Null texts have no words and fail the base rule. Null lang or source form
-    groups of their own. Repeated rows are judged each. Empty tables give none.
+    groups of their own. Repeated rows, and rows that share an id, are judged each.
+    Ties in a distance are in or out of the nearest half together. Empty tables give
+    none. Columns other than doc_id, text, lang and source are not read.
     """
     f = cut(_transformed(base_counts(docs)), "counts")
     usable = f.where(~F.col("base_failed"))
@@ -217,7 +260,7 @@ def quality_rules(
     full = F.concat_ws("\x01", F.lit("g"), lang, source)
     by_lang = F.concat_ws("\x01", F.lit("l"), lang)
     rows = usable.select(F.explode(F.array(full, by_lang, F.lit("all"))).alias("g"), *FEATURES)
-    at = _fit(rows, "g", steps, share, accuracy)
+    at = _fit(rows, "g", steps, more, share, accuracy)
     # a group's key holds its language's
     langs = _shrunk(at.where(F.col("g").startswith("l\x01")).withColumn("up", F.lit("all")), at, "up", min_rows)
     up = F.concat_ws("\x01", F.lit("l"), F.split("g", "\x01")[1])

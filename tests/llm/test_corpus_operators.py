@@ -93,6 +93,92 @@ def test_no_count_of_rows_switches_the_method(spark):
     assert all(abs(far[0][i] - far[1][i]) <= 0.1 + 0.1 * far[1][i] for i in far[0])
 
 
+def concentrated(x, m, c, share, floors):
+    """A concentration step in numpy."""
+    import numpy as np
+
+    d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    half = x[d <= np.sort(d)[max(0, math.ceil(share * len(x)) - 1)] * (1 + 1e-12)]
+    p = x.shape[1]
+    correct = share / quality_rules._chi2_cdf(quality_rules._chi2_quantile(share, p), p + 2)
+    return half.mean(0), np.cov(half.T, bias=True) * correct + np.diag(floors**2)
+
+
+def test_estimates_are_those_of_brute_force(spark):
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(21)
+    names, floors = list(quality_rules.FEATURES), np.array(list(quality_rules.FEATURES.values()))
+    p = len(names)
+    groups = {g: rng.normal(size=(n, p)) @ rng.normal(size=(p, p)) * floors * 3 + rng.normal(size=p) for g, n in (("a", 12), ("b", 37), ("c", 322))}
+    for x in groups.values():
+        x[: len(x) // 4] += 40 * floors
+    rows_ = [(g, *map(float, r)) for g, x in groups.items() for r in x]
+    got = {r.g: r for r in quality_rules._fit(spark.createDataFrame(rows_, f"g string, {', '.join(f'{n} double' for n in names)}"), "g", 2, 2, 0.5, 2000).collect()}
+    rank = lambda v, q: np.sort(v)[max(0, math.ceil(q * len(v)) - 1)]
+    for g, x in groups.items():
+        m = np.array([rank(v, 0.5) for v in x.T])
+        s = np.maximum([(rank(v, 0.75) - rank(v, 0.25)) / 1.349 for v in x.T], floors)
+        z = (x - m) / s
+        unit = z / np.sqrt((z**2).sum(1, keepdims=True))
+        starts = {"spread": np.eye(p), "tanh": np.cov(np.tanh(z).T, bias=True), "sign": unit.T @ unit / len(x) * p}
+        fits = {}
+        for k, c in starts.items():
+            at = m, c * np.outer(s, s) + np.diag(floors**2)
+            for _ in range(2):
+                at = concentrated(x, *at, 0.5, floors)
+            fits[k] = at
+        best = min(fits, key=lambda k: (round(np.linalg.slogdet(fits[k][1])[1] / 2, 9), k))
+        assert got[g].start == best
+        want = fits[best]
+        for _ in range(2):
+            want = concentrated(x, *want, 0.5, floors)
+        assert [got[g][f"m_{i}"] for i in range(p)] == pytest.approx(want[0].tolist())
+        found = np.array([[got[g][f"c_{max(i, j)}_{min(i, j)}"] for j in range(p)] for i in range(p)])
+        assert found == pytest.approx(want[1])
+        if len(x) <= 12:  # a local minimum: few of all halves have less
+            every = [np.linalg.det(np.cov(x[list(h)].T, bias=True) + np.diag(floors**2)) for h in itertools.combinations(range(len(x)), len(x) // 2)]
+            correct = 0.5 / quality_rules._chi2_cdf(quality_rules._chi2_quantile(0.5, p), p + 2)
+            found_det = np.linalg.det((found - np.diag(floors**2)) / correct + np.diag(floors**2))
+            assert sum(d < found_det for d in every) <= 0.05 * len(every)
+
+
+def test_distances_of_small_groups_are_those_of_brute_force(spark):
+    import numpy as np
+
+    rnd = random.Random(22)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9)))
+    plain = lambda k: " ".join(word() + "*" * (rnd.random() < 0.02 * k) if rnd.random() > 0.05 * k else word().upper() for _ in range(120))
+    data = [(i, plain(i % 4), ("en", "de")[i % 2], f"s{i % 3}") for i in range(222)]  # groups of 37
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    names, floors = list(quality_rules.FEATURES), np.array(list(quality_rules.FEATURES.values()))
+    p = len(names)
+    x = {r.doc_id: np.array([r[n] for n in names]) for r in quality_rules._transformed(quality_rules.base_counts(docs)).collect()}
+    members = {}
+    for i, _, lang, source in data:
+        for g in ((lang, source), (lang,), ()):
+            members.setdefault(g, []).append(x[i])
+    flat = spark.createDataFrame([(repr(g), *map(float, r)) for g, rs in members.items() for r in rs], f"g string, {', '.join(f'{n} double' for n in names)}")
+    fit = {r.g: r for r in quality_rules._fit(flat, "g", 2, 2, 0.5, 2000).collect()}
+
+    def estimate(g):
+        r = fit[repr(g)]
+        m, c = np.array([r[f"m_{i}"] for i in range(p)]), np.array([[r[f"c_{max(i, j)}_{min(i, j)}"] for j in range(p)] for i in range(p)])
+        if g:
+            um, uc = estimate(g[:-1])
+            n = len(members[g])
+            m, c = (n * m + p * um) / (n + p), (n * c + 100 * uc) / (n + 100)
+        return m, c
+
+    for r in quality_rules.quality_rules(docs).collect():
+        _, _, lang, source = data[r.doc_id]
+        m, c = estimate((lang, source))
+        d = float((x[r.doc_id] - m) @ np.linalg.solve(c, x[r.doc_id] - m))
+        assert r.distance == pytest.approx(d, rel=1e-6) and r.kept == (d <= quality_rules._chi2_quantile(0.9999, p))
+
+
 def test_chi_squared():
     assert quality_rules._chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
 
