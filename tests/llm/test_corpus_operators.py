@@ -373,6 +373,47 @@ def test_mined_rules_find_the_planted_combination(spark):
     assert all(got[i] == ("block" if q == 0 else "allow") for i, _, q in data)
 
 
+def test_mined_rules_are_those_of_brute_force(spark):
+    import itertools
+
+    rnd = random.Random(15)
+    names = [f"p:{c}" for c in "abcdef"]
+    data = []
+    for _ in range(300):
+        t = {x for x in names if rnd.random() < 0.4}
+        if "p:a" in t:
+            t |= {"p:twin", "p:third"}  # always with p:a
+        data.append((sorted(t | {"h:com"}), rnd.random() < (0.9 if {"p:b", "p:c"} <= t else 0.5 if "p:a" in t else 0.15)))
+    data += [([], True), (None, False)]
+    got = {tuple(map(tuple, r.items)): (r.n, r.n_bad, round(r.lift, 9)) for r in (dict_row(x) for x in url_rules.mine_rules(spark.createDataFrame(data, "tokens array<string>, bad boolean"), 0.02, 0.6, 1.5, 10).collect())}
+    baskets = [(set(t), b) for t, b in data if t]
+    n, n_bad, want = len(baskets), sum(b for _, b in baskets), {}
+    for k in range(1, 7):
+        for items in itertools.combinations(names, k):
+            held = [b for t, b in baskets if set(items) <= t]
+            if sum(held) >= 10 and sum(held) >= 0.6 * len(held) and sum(held) / len(held) * n / n_bad >= 1.5:
+                alike = tuple(sorted(("p:a", "p:third", "p:twin") if i == "p:a" else (i,) for i in items))
+                want[alike] = (len(held), sum(held), round(sum(held) / len(held) * n / n_bad, 9))
+    assert want and got == want
+
+
+def dict_row(row):
+    import types
+
+    return types.SimpleNamespace(**row.asDict())
+
+
+def test_many_shared_path_words(spark):
+    words = "/".join(f"word{chr(97 + i)}x" for i in range(26)) + "/" + "/".join(f"more{chr(97 + i)}x" for i in range(6))
+    rnd = random.Random(16)
+    thin = lambda: "/".join(w for w in words.split("/") if rnd.random() < 0.95)  # noqa: E731  hardly two pages have the same ones
+    data = [(i, f"http://a{i % 7}.info/{words if i % 2 else thin()}/{i}", 0 if i % 3 == 0 else 1) for i in range(400)] + [(400 + i, f"http://b.info/story/{i}", 1) for i in range(400)]
+    pages = spark.createDataFrame([(i, u) for i, u, _ in data], "page_id long, url string")
+    labels = spark.createDataFrame([(i, q, None) for i, _, q in data], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, labels, min_confidence=0.3).collect()}
+    assert all(got[i] == ("block" if i < 400 else "allow") for i in got) and len(got) == 800
+
+
 def secret_brute(text):
     t, found = text or "", []
     for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
