@@ -47,16 +47,14 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Characters under a secret's span become ``[SECRET]``; n_chars, if there, follows. Null texts stay null."""
-    found = scan_secrets(docs).where((F.size("base") > 0) | (F.size("more") > 0))
-    found = found.select(F.col("doc_id").alias("secret_id"), F.col("tag").alias("secret_tag"), F.concat("base", "more").alias("secret_spans")).distinct()
-    tag = F.md5(F.col("text").cast("binary"))
-    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("secret_id")) & (tag == F.col("secret_tag")), "left")
-    hit = F.size(F.coalesce("secret_spans", F.array().cast(found.schema["secret_spans"].dataType))) > 0
-    out = out.withColumn("text", F.when(hit, redact("text", "secret_spans")).otherwise(F.col("text")))
+    """Characters under a secret's span become ``[SECRET]``; n_chars, if there, follows. Null texts stay null. Rows are judged each."""
+    found = scan_secrets(docs, carry=tuple(docs.columns))
+    spans = F.concat("base", "more")
+    out = found.select("row.*", (F.size(spans) > 0).alias("_hit"), redact(F.col("row.text"), spans).alias("_clean"))
+    new = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_hit"), F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -441,15 +441,91 @@ def test_battery_knows_random_from_patterned(spark):
     abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     good = [("".join(rnd.choice(abc) for _ in range(40)),) for _ in range(200)]
     bad = [("abc123" * 7,), ("a1" * 20,), ("1" * 30 + "a" * 10,), ("0123456789abcdefghijklmnopqrstuvwxyz0123",)]
-    p = {r.token: r.p for r in secret_scan.battery(spark.createDataFrame(good + bad, "token string")).collect()}
+    p = {r.token: r.p for r in spark.createDataFrame(good + bad, "token string").select("token", secret_scan.battery(F.col("token"))["p"].alias("p")).collect()}
     assert sum(p[g[0]] < 0.01 for g in good) <= 12
     assert all(p[b[0]] < 0.001 for b in bad)
 
 
+def battery_brute(token):
+    """The three tests and their sum, with exact normal tails."""
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for pattern, abc in (("[0-9a-f]+", dig + low[:6]), ("[0-9A-F]+", dig + up[:6]), ("[A-Z2-7]+", up + "234567"), ("[0-9a-z]+", dig + low), ("[0-9A-Z]+", dig + up), ("[0-9A-Za-z]+", dig + up + low), (".*", up + low + dig + "+/")):
+        if re.fullmatch(pattern, token):
+            break
+    x = [abc.index(c) for c in token.translate(str.maketrans("-_", "+/"))]
+    n, k = len(x), len(abc)
+    tail = lambda z: 0.5 * math.erfc(z / 2**0.5)
+    chi = sum(x.count(v) ** 2 for v in range(k)) * k / n - n
+    d = 2 / (9 * (k - 1))
+    p = [tail(((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - d)) / d**0.5)]
+    high = [v >= k / 2 for v in x]
+    n1 = sum(high)
+    mu = 2 * n1 * (n - n1) / n + 1
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    p.append(2.0 ** (1 - n) if n1 in (0, n) else 2 * tail(abs(runs - mu) / max((mu - 1) * (mu - 2) / (n - 1), 1e-9) ** 0.5))
+    mean = sum(x) / n
+    ss = sum((v - mean) ** 2 for v in x)
+    p.append(1e-12 if ss <= 1e-9 else 2 * tail(abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / ss + 1 / n) * n**0.5))
+    half = -sum(math.log(min(max(v, 1e-12), 1)) for v in p)
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def planted_tokens(rnd, n):
+    """(token, whether it is random) of many lengths and kinds."""
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    out = []
+    for i in range(n):
+        size = rnd.choice((20, 24, 32, 40, 64, 96))
+        if i % 2:
+            abc = rnd.choice((low + dig, up + low + dig, up + low + dig + "+/"))
+            t = "".join(rnd.choice(abc) for _ in range(size))
+        else:
+            words = lambda: "-".join(rnd.choice(("release", "build", "module", "user", "image", "part", "page", "item")) + str(rnd.randint(0, 99)) for _ in range(20))
+            t = rnd.choice((lambda: words()[:size], lambda: ("abc123" * 20)[:size], lambda: (low + dig)[rnd.randint(0, 5) :][:size].ljust(size, "9"), lambda: str(rnd.randint(2000, 2030)).ljust(size - 1, "0") + "Z"))()
+        if re.search("[0-9]", t) and re.search("[A-Za-z]", t) and not re.search("[0-9a-f]{24}", t):
+            out.append((t, i % 2 == 1))
+    return out
+
+
+def test_battery_and_false_discovery_are_those_of_brute_force(spark):
+    tokens = planted_tokens(random.Random(17), 1200)
+    data = [(i, f"go {t} stop") for i, (t, _) in enumerate(tokens)]
+    p = {t: battery_brute(t) for t, _ in tokens}
+    got = {r.token: r.p for r in spark.createDataFrame([(t,) for t in p], "token string").select("token", secret_scan.battery(F.col("token"))["p"].alias("p")).collect()}
+    for t in p:
+        assert got[t] == pytest.approx(p[t], rel=1e-3, abs=1e-9)
+    reported = {r.row.doc_id for r in secret_scan.scan_secrets(frame(spark, data)).collect() if r.more}
+    classes = collections.defaultdict(list)
+    for t in p:
+        classes[int(math.log2(len(t)))].append(t)
+    for ts in classes.values():  # Benjamini-Hochberg over bins of a twentieth of a power of ten
+        bins = {t: min(int(math.floor(-math.log10(max(got[t], 1e-12)) / 0.05)), 240) for t in ts}
+        reject = [b for b in set(bins.values()) if 10 ** (-b * 0.05) <= 0.01 * sum(v >= b for v in bins.values()) / len(ts)]
+        for i, (t, _) in enumerate(tokens):
+            if t in bins and not secret_brute(f"go {t} stop")[2]:
+                assert (i in reported) == (not reject or bins[t] < min(reject))
+    random_ones = [i for i, (_, r) in enumerate(tokens) if r]
+    assert sum(i in reported for i in random_ones) >= 0.98 * len(random_ones)
+
+
 def test_redaction(spark):
-    s = secret_scan.scan_secrets(frame(spark, [(1, "é token=abcdef x"), (2, "clean")])).select("doc_id", F.concat("base", "more").alias("all"))
-    got = {r.doc_id: r.r for r in frame(spark, [(1, "é token=abcdef x"), (2, "clean")]).select("doc_id", "text").join(s, "doc_id").select("doc_id", secret_scan.redact("text", "all").alias("r")).collect()}
-    assert got == {1: "é [SECRET] x", 2: "clean"}
+    n = secret_scan.PIECE
+    data = [(1, "é token=abcdef x"), (2, "clean"), (None, None), (3, "x" * (n - 8) + " token=abcdef " + "y" * n), (3, "z" * n + "token=abcdef"), (4, ("é😀" * 4 + " token=abcdef\n") * 2000), (5, "token=abcdef PASSWORD:token=abcdefg")]
+    s = secret_scan.scan_secrets(frame(spark, data), carry=("doc_id", "text")).select("row.doc_id", "row.text", secret_scan.redact(F.col("row.text"), F.concat("base", "more")).alias("r")).collect()
+    assert len(s) == len(data)
+    for r in s:
+        want = re.sub(r"(?:PASSWORD:)?token=[A-Za-z0-9=]+", "[SECRET]", r.text) if r.text else r.text
+        assert r.r == want
+
+
+def test_secrets_in_very_long_texts(spark):
+    """20 MB with 100,000 secrets: the work is linear."""
+    line = "some words of prose " * 8 + "token=abcdef0123 and 0123456789abcdef0123456789 é\n"
+    n = 100_000
+    df = spark.createDataFrame([(1,)], "doc_id long").select("doc_id", F.repeat(F.lit(line), n).alias("text"))
+    got = secret_scan.scan_secrets(df, carry=("doc_id", "text")).select(F.size("base").alias("n"), F.get("base", F.lit(n - 1))["start"].alias("start"), F.length(secret_scan.redact(F.col("row.text"), F.concat("base", "more"))).alias("left")).first()
+    assert got.n == 2 * n and got.start == (n - 1) * len(line) + line.index("token")
+    assert got.left == n * (len(line) - len("token=abcdef0123") - 26 + 16)
 
 
 def repeats_brute(texts, length):
