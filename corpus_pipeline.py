@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import encode_decode
-from quillspark.llm.common import cut, read
+from quillspark.llm.common import cut, discard, discard_since, read, written
 from quillspark.llm.decontaminate import contamination
 from quillspark.llm.near_dup import near_duplicates
 from quillspark.llm.quality_rules import quality_rules
@@ -21,29 +21,38 @@ from quillspark.llm.secret_scan import redact, scan_secrets
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``gone``; rows with a null doc_id stay."""
-    return docs.join(gone.select(F.col("doc_id").alias("gone_id")).distinct(), F.col("doc_id") == F.col("gone_id"), "left_anti")
+#: A column of unique longs, which tells rows apart whatever their ids and texts.
+ROW = "_quill_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``ROW``; written, so that a task that runs again gives the same numbers."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` less those whose number is in ``gone``, without the number."""
+    return rows.join(gone.select(F.col(ROW).alias("_gone")), F.col(ROW) == F.col("_gone"), "left_anti").drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, by doc_id. Null texts have no words and are rejected."""
-    return _without(docs, quality_rules(docs).where(~F.col("kept")))
+    """Rejected rows go. Null texts have no words and are rejected. Rows with equal or null ids are judged each; an empty table gives none."""
+    return quality_rules(docs, carry=tuple(docs.columns)).where("kept").select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row of the least doc_id stays; of repeated rows with that id, one."""
-    left = _without(docs, near_duplicates(docs).where(~F.col("kept")))
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("doc_id").isNotNull())
-    if repeated.isEmpty():
-        return left
-    repeated = cut(repeated.select("doc_id"), "repeated")
-    return _without(left, repeated).unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """Of each component one row stays: that of the least doc_id, nulls last, and of several
+    with that id the first. Rows with one id and different texts are rows of their own. Null
+    texts are linked with nothing and stay; an empty table gives none."""
+    rows = _numbered(docs)
+    return _without(rows, near_duplicates(rows, row=ROW).where(~F.col("first")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a word inside a benchmark window go, by doc_id."""
-    return _without(docs, contamination(docs, read(spark, sf_dir, "benchmark")).where(F.col("n_hit") > 0))
+    """Rows with a word inside a benchmark window go, whatever their ids. Null texts stay; an empty table gives none, an empty benchmark takes none."""
+    rows = _numbered(docs)
+    found = contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return _without(rows, found.where(F.col("n_hit") > 0).select(F.col("doc_id").alias(ROW)))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +67,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text of every row."""
+    """Token counts and digests of ids and decoded text of every row; null texts count as empty, an empty table gives none."""
     import public_tokenizers
 
     return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -74,7 +83,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents; what a stage has written for itself goes when its result is stored."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before, last = written(spark), docs
         docs = cut(stage(spark, docs, sf_dir), name)
+        discard_since(spark, before, docs)
+        discard(last)
     return docs

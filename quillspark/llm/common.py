@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, as in ``[\x20\x09-\x0D]``.
 SPACE = " \t\n\x0b\x0c\r"
 _own: dict[str, str] = {}
+#: What ``cut`` has written and not discarded, by session.
+_written: dict[int, list[str]] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,7 +39,37 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     compute it again nor depend on what a lost executor held."""
     path = f"{shared_dir(df.sparkSession)}/quillspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    _written.setdefault(id(df.sparkSession), []).append(path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written and no later job reads; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "_cut_path", None):
+            _delete(t.sparkSession, path)
+            _written[id(t.sparkSession)].remove(path)
+
+
+def written(spark: SparkSession) -> tuple[str, ...]:
+    """What ``cut`` has written in this session and nobody has discarded."""
+    return tuple(_written.get(id(spark), ()))
+
+
+def discard_since(spark: SparkSession, before: tuple[str, ...], *keep: DataFrame) -> None:
+    """Delete what ``cut`` has written since ``before``, but for the tables ``keep``."""
+    stay = {*before, *(getattr(t, "_cut_path", None) for t in keep)}
+    for path in written(spark):
+        if path not in stay:
+            _delete(spark, path)
+            _written[id(spark)].remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def slices(sizes: list[int], most: int):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -32,8 +32,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = cut(large, "large")
         low = cut(large.groupBy("u").agg(F.min("m").alias("r")), "low")
         small = large.join(low, "u").select("u", "m", "r")
-        e = small.select(F.col("m").alias("u"), F.col("r").alias("m")).where(F.col("u") > F.col("m"))
-        e = cut(e.unionByName(low.select("u", F.col("r").alias("m"))).distinct(), "links")
+        hung = small.select(F.col("m").alias("u"), F.col("r").alias("m")).where(F.col("u") > F.col("m"))
+        hung = cut(hung.unionByName(low.select("u", F.col("r").alias("m"))).distinct(), "links")
+        discard(e, least, large, low)
+        e = hung
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "m").cast("decimal(20,0)"))).first()
         if now == before:
             break
@@ -41,4 +43,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("m").alias("v"), F.col("m").alias("c")).distinct()
-    return e.select(F.col("u").alias("v"), F.col("m").alias("c")).unionByName(roots).distinct()
+    found = cut(e.select(F.col("u").alias("v"), F.col("m").alias("c")).unionByName(roots).distinct(), "components")
+    discard(e)
+    return found

@@ -15,13 +15,23 @@
    operations inside the join. Of the others, the best for each class is
    verified on full shingle sets.
 4. Buckets whose classes are not yet in one component give the pairs across
-   components, in two passes by falling estimate; each pair leaves the join once,
-   at the first band it shares, and only with a sufficient estimate. Few
-   values fill all registers of short texts, and chance agreement strays: up to
-   ``short`` shingles the last pass has a lower floor, up to ``tiny`` none.
-   Pairs within a component cannot change the result, so none is made.
+   components, in passes by falling estimate: what the first ones link, the later
+   ones need not compare. A bucket's largest component
+   meets only the bucket's other classes, never itself, so a family of linked
+   copies costs its size times the number of strangers in its buckets. Each pair
+   leaves the join once, at the first band it shares, and only with a sufficient
+   estimate. Few values fill all registers of short texts, and chance agreement
+   strays: up to ``short`` shingles the last pass has a lower floor, up to ``tiny``
+   none. Pairs within a component cannot change the result and are not verified.
+5. Verification deals pairs into cells by the hashes of both sides. A cell gets the
+   text of each of its classes once, however many pairs it is in, so a family of N
+   texts just under the threshold, whose pairs all have to be verified, moves
+   about N times the square root of the number of cells, not two texts a pair.
    All links found together give the components.
 
+What stays quadratic is the number of estimates between unlinked classes of
+one bucket: no filter can tell texts at a similarity of 0.74 from those at 0.75.
+
 A pair at a similarity of 0.75 is in no common band with a probability of
 (1 - 0.75**5) ** 50 = 1.3e-6. Its estimate has a standard deviation of 0.025 for
 20 shingles in the union, 0.020 for 64 and 128, 0.019 for 256 and 512, 0.016 for
@@ -31,12 +41,14 @@ holds for it with a probability of 4e-6 or so at most.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, cut, mix64, odd_multipliers, slices, texts
+from .common import WordHash, cut, discard, mix64, odd_multipliers, slices, texts
 from .graph import components
 
 SHINGLE, SEED, MANTISSA, KEPT = 5, 20_240_229, 10, 2
@@ -129,7 +141,7 @@ def _sketched(registers: int, bands: int, rows: int):
         mult = odd_multipliers(rows, SEED + 2)
         salt = mix64(np.arange(bands, dtype=np.uint64) + np.uint64(SEED))
         for b in batches:
-            ids, texts_ = b.column(0), b.column(1).cast(pa.binary())
+            ids, rows_, texts_ = b.column(0), b.column(1), b.column(2).cast(pa.binary())
             sizes = pa.compute.binary_length(texts_).to_pylist()
             for x, y in slices(sizes, 4_000_000):
                 sets = shingle_sets(texts_.slice(x, y - x).to_pylist(), words)
@@ -144,45 +156,45 @@ def _sketched(registers: int, bands: int, rows: int):
                     bits.append(packed(r))
                     band.append(mix64((r[take].astype(np.uint64) * mult).sum(1, dtype=np.uint64) ^ salt).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(x, y - x), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(band, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "bits", "bands"],
+                    [ids.slice(x, y - x), rows_.slice(x, y - x), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(band, pa.list_(pa.int64()))],
+                    ["doc_id", "row", "n_shingles", "digest", "bits", "bands"],
                 )
 
     return run
 
 
 def _verified(percent: int):
-    """Keeps the pairs whose full shingle sets are similar."""
+    """Keeps the pairs whose full shingle sets are similar. The input comes sorted by cell, texts before pairs."""
 
     def run(batches):
-        import hashlib
-
         words = WordHash()
-        last: dict = {}
-
-        def of(digest, text):
-            if digest not in last:
-                if len(last) >= 256:
-                    last.clear()
-                (s,) = shingle_sets([text], words)
-                # a row that shares the id of the class's row but not its words
-                last[digest] = s if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest else None
-                if last[digest] is None:
-                    return last.pop(digest)
-            return last[digest]
-
-        for b in batches:
-            a, c, ta, tb = (b.column(k) for k in ("a", "b", "ta", "tb"))
-            good = []
-            for i in range(b.num_rows):
-                s, t = of(a[i].as_py(), ta[i].as_py().encode()), of(c[i].as_py(), tb[i].as_py().encode())
-                if s is None or t is None:
-                    continue
-                both = len(s) + len(t) - len(np.union1d(s, t))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    good.append(i)
-            k = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([a.take(k), c.take(k)], ["a", "b"])
+        cell, sets, good = None, {}, []
+
+        def links(pairs: dict):
+            for a, others in pairs.items():
+                s = sets[a]
+                n = np.array([len(sets[b]) for b in others])
+                for x, y in slices(n.tolist(), 2_000_000):
+                    every = np.concatenate([sets[b] for b in others[x:y]])
+                    same = s[np.minimum(np.searchsorted(s, every), len(s) - 1)] == every
+                    both = np.add.reduceat(same, np.cumsum(n[x:y]) - n[x:y], dtype=np.int64)
+                    ok = 100 * both >= percent * (len(s) + n[x:y] - both)
+                    good.extend((a, others[x + i]) for i in np.flatnonzero(ok).tolist())
+
+        for batch in batches:
+            good.clear()
+            pairs: dict = {}
+            columns = [batch.column(k).to_pylist() for k in ("cell", "a", "b", "text")]
+            for at, a, b, text in zip(*columns):
+                if at != cell:
+                    links(pairs)
+                    pairs, sets, cell = {}, {}, at
+                if text is not None:
+                    (sets[a],) = shingle_sets([text.encode()], words)
+                else:
+                    pairs.setdefault(a, []).append(b)
+            links(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.binary()), pa.array([g[1] for g in good], pa.binary())], ["a", "b"])
 
     return run
 
@@ -193,73 +205,105 @@ def near_duplicates(
     registers: int = 1024,
     bands: int = 50,
     rows: int = 5,
-    floor: float = 0.677,
-    likely: float = 0.72,
+    passes: tuple[float, ...] = (0.76, 0.72, 0.677),
     tiny: int = 32,
     short: int = 900,
     short_floor: float = 0.65,
+    cell_pairs: int = 10_000,
+    row: str | None = None,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
     component_id is the least doc_id of the rows reachable by links. A row
     without words has no shingles and is its own component. Repeated rows
     share a component and a verdict. A null doc_id gets the least id of its
-    component, null if none has one. Extra columns are not read.
+    component, null if none has one. An empty table gives none. Extra columns are
+    not read, whatever their names. Where ``row`` names a column of unique longs, it
+    is returned too, with first: whether this is the one row of its component that
+    has the least doc_id, and of these the least ``row`` (nulls come last).
     """
-    longs = registers // 32
-    own = docs.select("doc_id", texts().alias("text"))
+    longs, floor = registers // 32, passes[-1]
+    # rows with one id and one text stand for each other
+    own = docs.select("doc_id", (F.col(row) if row else F.xxhash64(texts())).alias("row"), texts().alias("text"))
     sk = cut(
-        own.mapInArrow(_sketched(registers, bands, rows), "doc_id long, n_shingles long, digest binary, bits array<long>, bands array<long>"),
+        own.mapInArrow(_sketched(registers, bands, rows), "doc_id long, row long, n_shingles long, digest binary, bits array<long>, bands array<long>"),
         "sketch",
     )
     some = sk.where(F.col("digest").isNotNull())
     first = lambda c: F.first(c).alias(c)  # noqa: E731  the same in all rows of a class
-    classes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), first("bits"), first("bands")), "classes")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = cut(some.groupBy("digest").agg(F.min(key).alias("rep"), F.max("n_shingles").alias("n"), first("bits"), first("bands")), "classes")
     keyed = classes.select("digest", F.explode("bands").alias("key"))
     shared = cut(
         keyed.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where(F.col("least") < F.col("most")).select("key", "least"),
         "buckets",
     )
     members = cut(keyed.join(shared, "key").select("key", "digest", "least"), "members")
+    discard(shared)
+    # the text of one row of each class that shares a bucket
+    asked = cut(members.select("digest").distinct().join(classes.select("digest", "rep"), "digest").select("digest", F.col("rep.doc_id").alias("d"), F.col("rep.row").alias("r")), "asked")
+    found = own.join(asked, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    whole = cut(found.groupBy("digest").agg(F.first("text").alias("text")), "texts")
     sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    side = lambda x: classes.select(F.col("digest").alias(x), F.col("n").alias(f"n{x}"), F.col("rep").alias(f"id{x}"), F.col("bits").alias(f"bits{x}"))
+    side = lambda x: classes.select(F.col("digest").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, ida, idb) that are links. Their number follows from the estimate; texts come only for them."""
-        pairs = cut(pairs.select("a", "b", "ida", "idb"), "pairs")
-        one, two = (own.select(F.col("doc_id").alias(f"k{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
-        p = pairs.join(one, F.col("ida").eqNullSafe(F.col("ka"))).join(two, F.col("idb").eqNullSafe(F.col("kb")))
-        return cut(p.select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a binary, b binary").distinct(), "verified")
+        """The pairs (a, b) that are links. Their number follows from the estimate; texts come only for them."""
+        pairs = cut(pairs.select("a", "b"), "pairs")
+        n = max(1, math.ceil(math.sqrt(pairs.count() / cell_pairs)))
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
+        placed = pairs.select((part("a") * n + part("b")).alias("cell"), "a", "b")
+        need = placed.select("cell", F.col("a").alias("digest")).unionByName(placed.select("cell", F.col("b").alias("digest"))).distinct()
+        # written, so that both sides of the join are plain shuffles
+        need = cut(need, "need")
+        sent = need.join(whole, "digest").select("cell", F.col("digest").alias("a"), F.lit(None).cast("binary").alias("b"), "text")
+        sent = sent.unionByName(placed.withColumn("text", F.lit(None).cast("string")))
+        sent = sent.repartition("cell").sortWithinPartitions("cell", F.col("text").isNull())
+        links = cut(sent.mapInArrow(_verified(percent), "a binary, b binary"), "verified")
+        discard(pairs, need)
+        return links
 
     stars = members.where(F.col("digest") != F.col("least")).select(F.col("digest").alias("a"), F.col("least").alias("b")).distinct()
     stars = stars.join(side("a"), "a").join(side("b"), "b").where(sized).withColumn("j", estimated("bitsa", "bitsb", longs)).where(F.col("j") >= floor)
-    best = stars.groupBy("a", "ida").agg(F.max_by(F.struct("b", "idb"), F.struct("j", "b")).alias("to"))
-    links = verify(best.select("a", "ida", "to.b", "to.idb"))
-    comp = cut(components(links), "components")
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("j", "b")).alias("b"))
+    links = verify(best)
+    parts = [links]
+    comp = components(links)
 
-    for least in (likely, floor):
+    for last, least in zip((2.0, *passes), passes):
         placed = members.join(comp, F.col("digest") == F.col("v"), "left").select("key", "digest", F.coalesce("c", "digest").alias("c"))
-        split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
-        split = cut(split, "split")  # so that Spark can split a hot bucket's partition in the join
-        left = cut(placed.join(split, "key", "left_semi").join(classes, "digest"), "placed")
-        half = lambda x: left.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("digest", "c", "n", "rep", "bits", "bands")))
-        both = half("a").join(half("b"), "key").withColumn("j", estimated("bitsa", "bitsb", longs))
+        placed = cut(placed, "placed")
+        sizes = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("big"), F.count(F.lit(1)).alias("comps"))
+        split = cut(sizes.where(F.col("comps") > 1).select("key", "big"), "split")  # so that Spark can split a hot bucket's partition in the join
+        left = cut(placed.join(split, "key").join(classes, "digest"), "left")
+        half = lambda x, of: of.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("digest", "c", "n", "big", "bits", "bands")))
+        both = half("a", left.where(F.col("c") != F.col("big"))).join(half("b", left), "key").withColumn("j", estimated("bitsa", "bitsb", longs))
         # the first band in which both have the same bucket
         meet = F.get("bandsa", F.array_position(F.zip_with("bandsa", "bandsb", lambda x, y: x == y), F.lit(True)).cast("int") - 1)
         enough = F.col("j") >= least
         if least == floor:
             enough |= (F.least("na", "nb") <= tiny) | ((F.least("na", "nb") <= short) & (F.col("j") >= short_floor))
-        across = both.where((F.col("ca") < F.col("cb")) & sized & enough & (meet == F.col("key")))
-        more = verify(across.select(F.col("digesta").alias("a"), F.col("digestb").alias("b"), F.col("repa").alias("ida"), F.col("repb").alias("idb")))
+        # pairs of greater estimates have been verified; classes of the bucket's largest component stand on one side only
+        apart = (F.col("ca") < F.col("cb")) | (F.col("cb") == F.col("bigb"))
+        across = both.where(apart & sized & enough & (F.col("j") < last) & (meet == F.col("key")))
+        # a pair whose sides trade places from one band to the next still leaves once
+        more = verify(across.select(F.least("digesta", "digestb").alias("a"), F.greatest("digesta", "digestb").alias("b")))
+        discard(placed, split, left)
         if more.isEmpty():
             continue
+        parts.append(more)
         links = links.unionByName(more)
-        comp = cut(components(links), "components")
+        discard(comp)
+        comp = components(links)
 
     of = cut(classes.join(comp, F.col("digest") == F.col("v"), "left").select("digest", "rep", F.coalesce("c", "digest").alias("c")), "placed")
     # written, so that Spark can split a hot component's partition in the join
-    least_id = cut(of.groupBy("c").agg(F.min("rep").alias("component_id")), "least")
-    of = of.join(least_id, "c").select(F.col("digest").alias("of"), "component_id")
-    out = sk.select("doc_id", "n_shingles", "digest").join(of, F.col("digest") == F.col("of"), "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    least_id = cut(of.groupBy("c").agg(F.min("rep").alias("first")), "least")
+    to = cut(of.join(least_id, "c").select(F.col("digest").alias("of"), "first"), "of")
+    out = sk.select("doc_id", "row", "n_shingles", "digest").join(to, F.col("digest") == F.col("of"), "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row", "digest", "first")
+    discard(classes, members, asked, whole, comp, of, least_id, *parts)
+    if not row:
+        return out.drop("row", "digest", "first")
+    return out.select("doc_id", "n_shingles", "component_id", "kept", F.col("row").alias(row), (F.col("digest").isNull() | (F.col("first.row") == F.col("row"))).alias("first"))

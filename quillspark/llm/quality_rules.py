@@ -39,15 +39,16 @@ SALTS = 32
 FEATURES = {"f_word": 0.35, "f_symbol": 0.8, "f_upper": 0.6, "f_repeat": 1.5, "f_line": 0.15}
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of each row of ``docs``.
+def base_counts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, row (a struct of the columns ``carry``) and the counts of each row of ``docs``.
 
     A null text has no words, like an empty one. Missing lang or source
     columns count as null. Repeated rows stay repeated.
     """
     have = set(docs.columns)
     col = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
-    d = docs.select("doc_id", col("lang").alias("lang"), col("source").alias("source"), texts().alias("t"))
+    row = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("struct<none:boolean>")
+    d = docs.select("doc_id", col("lang").alias("lang"), col("source").alias("source"), row.alias("row"), texts().alias("t"))
     d = d.withColumn("s", F.trim(F.col("t"), F.lit(_TRIM)))
     d = d.withColumn("w", F.when(F.col("s") == "", F.array().cast("array<string>")).otherwise(F.split("s", _WS)))
     lines = F.filter(F.split("t", "\n"), lambda x: F.trim(x, F.lit(_TRIM)) != "")
@@ -76,6 +77,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
+        "row",
         "n_words",
         F.length(F.regexp_replace("t", _WS, "")).cast("long").alias("word_chars"),
         only("#*$%&|<>").alias("n_symbols"),
@@ -243,8 +245,10 @@ def quality_rules(
     share: float = 0.5,
     keep_quantile: float = 0.9999,
     accuracy: int = 2000,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: counts, base_failed, distance, kept.
+    """One row per row of ``docs``: counts, base_failed, distance, kept, and with
+    ``carry`` a struct ``row`` of these columns.
 
     kept is false where base_failed; else where the squared distance to the
     group's estimate exceeds the chi-squared quantile ``keep_quantile``. At
@@ -254,7 +258,7 @@ def quality_rules(
     Ties in a distance are in or out of the nearest half together. Empty tables give
     none. Columns other than doc_id, text, lang and source are not read.
     """
-    f = cut(_transformed(base_counts(docs)), "counts")
+    f = cut(_transformed(base_counts(docs, carry)), "counts")
     usable = f.where(~F.col("base_failed"))
     lang, source = F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00"))
     full = F.concat_ws("\x01", F.lit("g"), lang, source)
@@ -281,4 +285,5 @@ def quality_rules(
         "base_failed",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)).alias("kept"),
         "distance",
+        *(["row"] if carry else []),
     )
