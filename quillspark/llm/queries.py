@@ -55,10 +55,11 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), slack=SLACK)
     ids = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near", F.array_join(F.col("near_items").cast("array<string>"), ",").alias("near_items"),
     )
 
 
@@ -116,10 +117,37 @@ WITH d AS (
 ), found AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1
+), shape AS (
+  SELECT DISTINCT n, g, string_split(g, ' ') AS t FROM win
+), exact AS (SELECT DISTINCT doc_id, n, g FROM place JOIN shape USING (n, g)
+), tok AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d
+), freq AS (SELECT t, count(*) AS f FROM tok GROUP BY 1
+), term AS (SELECT n, g, unnest(t) AS x, unnest(range(0, n)) AS j FROM shape
+), anchor AS (
+  SELECT term.n, term.g, arg_min(x, (coalesce(f, 0), j)) AS x, arg_min(j, (coalesce(f, 0), j)) AS j, min(coalesce(f, 0)) AS f
+  FROM term LEFT JOIN freq ON freq.t = term.x GROUP BY 1, 2
+), cand AS (
+  SELECT DISTINCT tok.doc_id, anchor.n, anchor.g, tok.p - anchor.j + s AS p
+  FROM anchor JOIN tok ON tok.t = anchor.x CROSS JOIN (SELECT unnest(range(-__SLACK__, __SLACK__ + 1)) AS s) WHERE anchor.f > 0
+), near AS (
+  SELECT DISTINCT cand.doc_id, cand.n, cand.g FROM cand JOIN shape ON shape.n = cand.n AND shape.g = cand.g JOIN d ON d.doc_id = cand.doc_id
+  WHERE __EACH__
+), apart AS (
+  SELECT * FROM near WHERE NOT EXISTS (SELECT 1 FROM exact WHERE exact.doc_id = near.doc_id AND exact.g = near.g AND exact.n = near.n)
+), nears AS (
+  SELECT doc_id, n_near, near_items FROM (SELECT doc_id, count(*) AS n_near FROM apart GROUP BY 1) JOIN (
+    SELECT doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS near_items
+    FROM (SELECT DISTINCT apart.doc_id, item_id FROM apart JOIN win ON win.g = apart.g AND win.n = apart.n) GROUP BY 1
+  ) USING (doc_id)
 )
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN nears USING (doc_id)
 """
+#: Words that a term of a proximity match may stand from its place.
+SLACK = 2
+OP9_SQL = OP9_SQL.replace("__SLACK__", str(SLACK)).replace(
+    "__EACH__", " AND ".join(f"(cand.n <= {j} OR list_contains(d.w[greatest(cand.p + {j - SLACK}, 1):greatest(cand.p + {j + SLACK}, 0)], shape.t[{j + 1}]))" for j in range(10))
+)
 
 ORACLES = {"op6_minhash_near_dedup": OP6_SQL, "op9_decontamination": OP9_SQL}

@@ -273,7 +273,7 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contamination(frame(spark), bench).select("doc_id", "n_words", "n_hit", "items").collect()
     assert by_id(got) == sorted(want, key=str)
-    for block in (1, 2):
+    for block in (200, 700):
         split = decontaminate.contamination(frame(spark), bench, block=block).select("doc_id", "n_words", "n_hit", "items").collect()
         assert by_id(split) == sorted(want, key=str)
 
@@ -283,15 +283,51 @@ def test_blocks_of_items_give_the_same_spans(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "gamma delta"), (None, "beta gamma"), (3, "delta r"), (4, "beta gamma delta")], "item_id long, text string")
     one = decontaminate.contamination(frame(spark, data), bench, slack=1).collect()
     assert len(one) == len(data)
-    for block in (1, 2, 3):
+    for block in (10, 20, 40):
         assert by_id(decontaminate.contamination(frame(spark, data), bench, slack=1, block=block).collect()) == by_id(one)
 
 
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     docs = frame(spark, [(1, "alpha beta x gamma delta"), (2, "alpha beta gamma delta"), (3, "alpha q q q q q beta gamma delta")])
-    got = {r.doc_id: (r.n_hit, r.n_near > 0) for r in decontaminate.contamination(docs, bench, slack=1).collect()}
-    assert got == {1: (0, True), 2: (4, False), 3: (0, False)}
+    got = {r.doc_id: (r.n_hit, r.n_near, r.near_items) for r in decontaminate.contamination(docs, bench, slack=1).collect()}
+    assert got == {1: (0, 1, [1]), 2: (4, 0, []), 3: (0, 0, [])}
+
+
+def test_proximity_is_that_of_brute_force(spark):
+    rnd = random.Random(18)
+    text = lambda n: " ".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(n))
+    data = [(i, text(rnd.randint(0, 60))) for i in range(40)] + [(7, text(30)), (None, text(30)), (None, None)]
+    items = [(i, text(rnd.randint(1, 12))) for i in range(60)]
+    for i in range(20):  # words of an item, some in each other's places
+        w = items[i + 30][1].split()
+        k = rnd.randrange(len(w))
+        w[k : k + 2] = w[k : k + 2][::-1]
+        data.append((100 + i, f"x {' '.join(w)} y"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for i, t in data:
+        w, exact, near = (t or "").split(), set(), set()
+        for k, it in items:
+            v = it.split()
+            for a in range(max(1, len(v) - 4)):
+                g = tuple(v[a : a + 5])
+                if any(tuple(w[p : p + len(g)]) == g for p in range(len(w))):
+                    exact.add(g)
+                if any(all(x in w[max(0, p + j - 2) : max(0, p + j + 3)] for j, x in enumerate(g)) for p in range(-2, len(w) + 2)):
+                    near.add((g, k))
+        near = {x for x in near if x[0] not in exact}
+        want.append((i, len({g for g, _ in near}), sorted({k for _, k in near})))
+    got = decontaminate.contamination(frame(spark, data), bench, width=5, slack=2, run_bytes=300).select("doc_id", "n_near", "near_items").collect()
+    assert by_id(got) == sorted(want, key=str) and sum(x[1] for x in want) > 20
+
+
+def test_a_long_item_is_cut_into_pieces(spark):
+    words = [f"w{i}" for i in range(90_000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "none of it")], "item_id long, text string")
+    data = [(i, " ".join(["x", *words[a : a + 12], "x"])) for i, a in enumerate((0, 19_985, 19_995, 20_000, 39_999, 59_994, 89_988))] + [(50, " ".join(words[70:79]))]
+    got = {r.doc_id: (r.n_hit, r.items) for r in decontaminate.contamination(frame(spark, data), bench, block=100_000).collect()}
+    assert got == {i: (12, [1]) for i in range(7)} | {50: (0, [])}
 
 
 def test_bpe_is_the_library(spark):
