@@ -229,7 +229,8 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False, with_text:
     on request also the ids and the decoded text.
 
     Special tokens' strings in a text become their ids. A null text counts as
-    empty and has no tokens. Rows stay as they are, repeated or not.
+    empty and has no tokens. Rows stay as they are, repeated or not; ids may be null
+    or repeat; an empty table gives none; extra columns are not read, whatever their names.
     ``path`` is read on the driver; its content goes with the tasks.
     """
     with open(path, encoding="utf-8") as f:

@@ -12,8 +12,6 @@ pieces that follow each other in both are summed, whatever stands between them.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,8 +53,9 @@ TEMPLATES = {
 GRAM, WINDOW, SEED = 3, 3, 20_240_317
 #: Templates of fewer words are found by every run of SHORT_GRAM words.
 SHORT, SHORT_GRAM = 12, 2
-WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Whether a byte is a word's.
+WORD_BYTES = np.array([c != 32 for c in FOLD])
 
 
 def word_hashes(text: bytes, words: WordHash) -> np.ndarray:
@@ -115,58 +114,88 @@ class Index:
         return np.concatenate(of), np.concatenate(diagonals)
 
 
-def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int, int, int]:
-    """(matched words, start, end, start and end in the template) of the best local alignment with diagonals in [low, high].
+def align(template: np.ndarray, text: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
+    """(matched words, start, end, start and end in the template) of the best local alignment in each band.
 
-    A match scores 2, a mismatch or gap -1. Row i of the band holds the text
-    places i + low .. i + high.
+    Band k holds the diagonals low[k] .. low[k] + width - 1; all bands go through the
+    template side by side. A match scores 2, a mismatch or gap -1.
     """
-    width = high - low + 1
-    score = np.zeros(width + 2, np.int64)  # padded: index d + 1 for diagonal low + d
-    begin = np.full(width + 2, -1, np.int64)
-    match = np.zeros(width + 2, np.int64)
-    best = (0, 0, 0, 0, 0)
-    d = np.arange(width)
-    for i in range(len(template)):
-        j = i + low + d
+    n = len(low)
+    shape = (n, width + 2)  # padded: index d + 1 for diagonal low + d
+    score, match, begin = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.full(shape, -1, np.int64)
+    best = np.zeros((n, 5), np.int64)  # score, matched, begin, end, last
+    d, each = np.arange(width), np.arange(n)
+    for i, word in enumerate(template):
+        j = i + low[:, None] + d
         inside = (j >= 0) & (j < len(text))
-        same = inside & (text[np.clip(j, 0, len(text) - 1)] == template[i])
-        s = score[1:-1] + np.where(same, 2, -1)
-        m, b = match[1:-1] + same, np.where((score[1:-1] > 0) | ~same, begin[1:-1], j + (i << 40))
-        up = score[2:] - 1  # the template word is missing in the text
+        same = inside & (text[np.clip(j, 0, len(text) - 1)] == word)
+        s = score[:, 1:-1] + np.where(same, 2, -1)
+        m, b = match[:, 1:-1] + same, np.where((score[:, 1:-1] > 0) | ~same, begin[:, 1:-1], j + (i << 40))
+        up = score[:, 2:] - 1  # the template word is missing in the text
         take = up > s
-        s, m, b = np.where(take, up, s), np.where(take, match[2:], m), np.where(take, begin[2:], b)
-        for k in range(1, width):  # a text word of its own: along the row
-            if s[k - 1] - 1 > s[k]:
-                s[k], m[k], b[k] = s[k - 1] - 1, m[k - 1], b[k - 1]
+        s, m, b = np.where(take, up, s), np.where(take, match[:, 2:], m), np.where(take, begin[:, 2:], b)
+        # text words of their own, along the row: the best place to come from, the nearest of equals
+        top = np.maximum.accumulate(s + d, axis=1)
+        to = np.maximum.accumulate(np.where(s + d == top, d, 0), axis=1)
+        s, m, b = top - d, np.take_along_axis(m, to, 1), np.take_along_axis(b, to, 1)
         dead = (s <= 0) | ~inside
-        s, m = np.where(dead, 0, s), np.where(dead, 0, m)
-        b = np.where(dead, -1, b)
-        score[1:-1], match[1:-1], begin[1:-1] = s, m, b
-        k = int(s.argmax())
-        if s[k] > best[0]:
-            best = (int(s[k]), int(m[k]), int(b[k]), int(j[k]) + 1, i + 1)
-    _, matched, at, end, last = best
-    return matched, at & (1 << 40) - 1, end, at >> 40, last
+        score[:, 1:-1], match[:, 1:-1], begin[:, 1:-1] = np.where(dead, 0, s), np.where(dead, 0, m), np.where(dead, -1, b)
+        k = score[:, 1:-1].argmax(1)
+        new = score[each, k + 1] > best[:, 0]
+        at = k[new]
+        best[new] = np.stack([score[new, at + 1], match[new, at + 1], begin[new, at + 1], j[new, at] + 1, np.full(len(at), i + 1)], 1)
+    return np.stack([best[:, 1], best[:, 2] & (1 << 40) - 1, best[:, 3], best[:, 2] >> 40, best[:, 4]], 1)
+
+
+def bands(diagonals: np.ndarray, slack: int) -> np.ndarray:
+    """The lowest diagonals of bands of width 4 * slack + 1 over groups of near diagonals:
+    at most ``slack`` from one to the next and 2 * slack from the first to the last."""
+    low, first, last = [], None, None
+    for d in np.unique(diagonals).tolist():
+        if first is None or d - last > slack or d - first > 2 * slack:
+            low.append(d - slack)
+            first = d
+        last = d
+    return np.array(low, np.int64)
+
 
+def pieces_of(template: np.ndarray, text: np.ndarray, diagonals: np.ndarray, slack: int) -> np.ndarray:
+    """The distinct matched pieces of all bands."""
+    slack = min(slack, len(template) // 4 + 1)  # two notices of few words lie near each other
+    low = bands(diagonals, slack)
+    found = [align(template, text, low[x : x + 4096], 4 * slack + 1) for x in range(0, len(low), 4096)]
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 5), np.int64)
 
-def _bands(diagonals: np.ndarray, slack: int) -> list[tuple[int, int]]:
-    """Groups of near diagonals as (low, high)."""
-    d = np.unique(diagonals)
-    cut = np.flatnonzero(np.diff(d) > slack)
-    return [(int(g[0]) - slack, int(g[-1]) + slack) for g in np.split(d, cut + 1)]
 
+def beside(left: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The pieces ``left`` of which at most half lies under ``used`` ones, in the text."""
+    if not len(left) or not len(used):
+        return left
+    edges = np.zeros(int(max(left[:, 2].max(), used[:, 2].max())) + 1, np.int64)
+    np.add.at(edges, used[:, 1], 1), np.add.at(edges, used[:, 2], -1)
+    under = np.concatenate([[0], np.cumsum(np.cumsum(edges) > 0)])
+    return left[2 * (under[left[:, 2]] - under[left[:, 1]]) <= left[:, 2] - left[:, 1]]
 
-def chains(pieces: list[tuple[int, int, int, int, int]], least: float) -> list[tuple[int, int, int]]:
-    """(matched words, start, end) of the notices that ``pieces`` of one template make up.
+
+def chains(pieces: np.ndarray, least: float, whole: int) -> list[tuple[int, int, int]]:
+    """(matched words, start, end) of the notices that ``pieces`` of one template of ``whole`` words make up.
 
     A chain's pieces follow each other in the text and in the template. Where two
-    overlap, by half of the smaller one at most, the overlap counts once. Of all
-    chains the one that matches most is taken, the shortest of equals, and so on
-    with the pieces left, while a chain matches ``least`` words.
+    overlap, by half of the smaller one at most, the overlap counts once. Pieces
+    that match the whole template are notices of their own. Of all chains of the
+    others the one that matches most is taken, the shortest of equals, and so on
+    with the pieces left, while a chain matches ``least`` words. A piece that lies
+    half or more under a taken one is another view of it and goes.
     """
-    out = []
-    left = np.array(sorted((p for p in pieces if p[0]), key=lambda p: (p[1], p[2])), np.int64).reshape(-1, 5)
+    left = pieces[pieces[:, 0] > 0]
+    left = left[np.lexsort((left[:, 2], left[:, 1]))]
+    out, used, end_ = [], [], 0
+    for p in left[left[:, 0] >= whole].tolist():
+        if p[1] >= end_:
+            out.append((p[0], p[1], p[2]))
+            used.append(p)
+            end_ = p[2]
+    left = beside(left[left[:, 0] < whole], np.array(used, np.int64).reshape(-1, 5))
     while len(left):
         matched, start, end, first, last = left.T
         edges = np.zeros(int(last.max()) + 1, np.int64)
@@ -184,22 +213,33 @@ def chains(pieces: list[tuple[int, int, int, int, int]], least: float) -> list[t
                 to = np.lexsort((begin[k], words))[-1]
                 if words[to] > matched[i]:
                     total[i], begin[i], before[i] = words[to], begin[k[to]], k[to]
-        used = np.zeros(len(left), bool)
+        taken = np.zeros(len(left), bool)
         for i in np.lexsort((start, end - begin, -total)).tolist():
             chain, k = [], i
             while k >= 0:
                 chain.append(k)
                 k = before[k]
-            if total[i] < least or used[chain].any():  # what used pieces have reached is to be found anew
+            if total[i] < least or taken[chain].any():  # what taken pieces have reached is to be found anew
                 break
-            used[chain] = True
+            if len(beside(left[chain], left[taken])) < len(chain):
+                continue
+            taken[chain] = True
             out.append((int(total[i]), int(begin[i]), int(end[i])))
-        if not used.any():
+        if not taken.any():
             break
-        left = left[~used]
+        left = beside(left[~taken], left[taken])
     return out
 
 
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends, in code points."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], WORD_BYTES[raw], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return chars[edge[::2]], chars[edge[1::2]]
+
+
 def _scanned(templates: dict[str, str], coverage: float, slack: int):
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -218,12 +258,9 @@ def _scanned(templates: dict[str, str], coverage: float, slack: int):
                         places = None
                         for k in np.unique(t).tolist():
                             w = index.words[k]
-                            pieces = [align(w, h, low, high) for low, high in _bands(diag[t == k], slack)]
-                            for m, s, e in chains(pieces, coverage * len(w)):
-                                if places is None:
-                                    places = [(p.start(), p.end()) for p in WORD.finditer(text)]
-                                chars = len(text[: places[s][0]].decode()), len(text[: places[e - 1][1]].decode())
-                                found.append({"license": index.names[k], "coverage": m / len(w), "matched": m, "start": chars[0], "end": chars[1]})
+                            for m, s, e in chains(pieces_of(w, h, diag[t == k], slack), coverage * len(w), len(w)):
+                                places = places or word_places(text)
+                                found.append({"license": index.names[k], "coverage": m / len(w), "matched": m, "start": int(places[0][s]), "end": int(places[1][e - 1])})
                     out.append(sorted(found, key=lambda f: (f["start"], f["end"], f["license"])))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(map(len, out), pa.int64()), pa.array(out, kind)], ["doc_id", "n_licenses", "found"])
 
@@ -234,8 +271,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     """doc_id, n_licenses and found (license, coverage, matched words, start, end in
     characters) of each row of ``docs``: chains of alignments that match ``coverage`` of a template.
 
-    Null and empty texts find nothing. Rows stay as they are, repeated or not.
-    A notice found twice in a text is listed twice; one diagonal band gives one piece.
+    Null and empty texts find nothing. Rows stay as they are, repeated or not; ids may
+    be null or repeat; an empty table gives none; extra columns are not read, whatever
+    their names. A notice found twice in a text is listed twice. A notice that a
+    longer one holds is found as well. The work is linear in a text's length, but for
+    chains of partial pieces, whose number squared counts.
     """
     schema = "doc_id long, n_licenses long, found array<struct<license:string,coverage:double,matched:bigint,start:bigint,end:bigint>>"
     return docs.select("doc_id", texts().alias("text")).mapInArrow(_scanned(TEMPLATES if templates is None else templates, coverage, slack), schema)

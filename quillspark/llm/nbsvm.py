@@ -133,13 +133,20 @@ def train(rows: list[np.ndarray], y: np.ndarray, size: int = 1 << BITS, cost: fl
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
-    """Fits on labelled rows whose crc32(doc_id as text) mod 5 is not 0; null labels and ids are left out."""
+    """Fits on labelled rows whose crc32(doc_id as text) mod 5 is not 0; null labels and ids are left out.
+
+    At most ``sample`` ids, those of least hash, take part, with one row each: of
+    several labels the least counts, of several texts that of the least md5.
+    """
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(
         F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     )
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)  # its size bounds the broadcast
-    own = docs.select("doc_id", texts().alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = own.select("y", "text").mapInArrow(_packed, "y int, bits binary").limit(2 * sample).collect()
+    usable = usable.groupBy("doc_id").agg(F.min("y").alias("y"))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # its size bounds the broadcast
+    own = docs.select("doc_id", texts().alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("sum", F.md5(F.col("text").cast("binary")))
+    # combined map-side, so what is gathered is one text an id
+    own = own.groupBy("doc_id").agg(F.min("y").alias("y"), F.min_by("text", "sum").alias("text"))
+    got = own.select("y", "text").mapInArrow(_packed, "y int, bits binary").collect()
     got.sort(key=lambda r: (r.bits, r.y))
     order = np.random.default_rng(SEED).permutation(len(got))
     rows = [np.flatnonzero(np.unpackbits(np.frombuffer(got[i].bits, np.uint8))) for i in order]
@@ -165,7 +172,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, cutoff
 
     Only the text enters a score. Null and empty texts get the score of a text
     without n-grams. A null doc_id is not held out. Without labels of both
-    classes the score is constant. Rows stay as they are, repeated or not.
+    classes the score is constant. Rows stay as they are, repeated or not; an empty
+    table gives none; extra columns are not read, whatever their names.
     """
     model = fit_quality(docs, labels, sample)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))

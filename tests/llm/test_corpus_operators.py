@@ -649,6 +649,86 @@ def test_licenses_with_words_put_in_or_left_out(spark):
     assert got[12] == []
 
 
+def align_brute(template, text):
+    """The score of the best local alignment by the full table."""
+    best, row = 0, [0] * (len(text) + 1)
+    for w in template:
+        new = [0]
+        for j, t in enumerate(text):
+            new.append(max(0, row[j] + (2 if w == t else -1), row[j + 1] - 1, new[-1] - 1))
+        best, row = max(best, max(new)), new
+    return best
+
+
+def test_banded_alignment_is_that_of_the_full_table():
+    import numpy as np
+
+    rnd = random.Random(19)
+    for _ in range(200):
+        template = [rnd.randint(0, 12) for _ in range(rnd.randint(3, 15))]
+        text = [x for x in template if rnd.random() < 0.8 for x in ([x, 99] if rnd.random() < 0.15 else [x])] or [1]
+        text = [50] * rnd.randint(0, 3) + text + [51] * rnd.randint(0, 3)
+        n = len(template) + len(text)
+        ((m, s, e, f, last),) = license_scan.align(np.array(template), np.array(text), np.array([-len(template)]), n + 1).tolist()
+        best = align_brute(template, text)
+        assert align_brute(template[f:last], text[s:e]) == best  # the span holds an alignment of the best score
+        assert m <= min(e - s, last - f) and 2 * m >= best
+
+
+def test_whole_notices_are_those_of_a_plain_search(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    plain = lambda t: " " + "  ".join(re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) + " "
+    templates = {k: plain(t) for k, t in license_scan.TEMPLATES.items()}
+    want = {r.doc_id: collections.Counter({k: n for k, t in templates.items() if (n := plain(r.text).count(t))}) for r in docs.collect()}
+    got = {r.doc_id: collections.Counter(f.license for f in r.found if f.coverage == 1.0) for r in license_scan.scan_licenses(docs).collect()}
+    assert got == want and sum(map(len, want.values())) > 5
+
+
+def test_many_notices_in_a_very_long_text(spark):
+    mit = license_scan.TEMPLATES["mit"]
+    line = license_scan.TEMPLATES["mit-line"]
+    n = 20_000_000 // len(mit)
+    df = spark.createDataFrame([(1,)], "doc_id long").select("doc_id", F.repeat(F.lit(mit + " "), n).alias("text")).unionAll(spark.createDataFrame([(2, line + " ")] * 1, "doc_id long, text string").select("doc_id", F.repeat("text", 2000)))
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    assert [(f.license, f.start) for f in got[1].found] == [("mit", k * (len(mit) + 1)) for k in range(n)]
+    assert [(f.license, f.start) for f in got[2].found] == [("mit-line", k * (len(line) + 1)) for k in range(2000)]
+
+
+def test_classifier_with_repeated_ids_is_the_same_each_time(spark):
+    texts_ = [(i % 40, f"{'good' if i % 2 else 'bad'} text number {i} of many") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] * 3 + [(3, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    fits = [nbsvm.fit_quality(frame(spark, rows_).repartition(n), labels.repartition(n), sample=20) for rows_, n in ((texts_, 2), (texts_[::-1], 5))]
+    assert (fits[0].weights == fits[1].weights).all() and (fits[0].a, fits[0].b) == (fits[1].a, fits[1].b)
+
+
+def test_dual_descent_is_the_optimum():
+    """Against projected gradient ascent on the same dual."""
+    import numpy as np
+
+    rng = np.random.default_rng(23)
+    rows_ = [np.flatnonzero(rng.random(30) < 0.4) for _ in range(60)]
+    y = np.array([1 if (5 in r) + (7 in r) - (9 in r) > 0 else -1 for r in rows_])
+    scale = nbsvm.log_count_ratios(rows_, y, 30)
+    p, q = np.ones(30), np.ones(30)
+    for r, v in zip(rows_, y):
+        for f in r:
+            (p if v > 0 else q)[f] += 1
+    assert scale == pytest.approx([math.log(a / p.sum()) - math.log(b / q.sum()) for a, b in zip(p, q)])
+    x = np.zeros((60, 30))
+    for i, r in enumerate(rows_):
+        x[i, r] = scale[r]
+    cost = np.full(60, 0.5)
+    w = nbsvm.dual_descent(rows_, y, scale, cost, epochs=3000)
+    alpha, k = np.zeros(60), (y[:, None] * x) @ (y[:, None] * x).T
+    for _ in range(200_000):
+        new = np.clip(alpha + (1 - k @ alpha) / np.linalg.norm(k, 2), 0, cost)
+        if abs(new - alpha).max() < 1e-12:
+            break
+        alpha = new
+    loss = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    assert loss(w) == pytest.approx(loss((alpha * y) @ x), rel=1e-3)
+
+
 def test_empty_tables(spark):
     import public_tokenizers
 
