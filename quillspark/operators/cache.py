@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical_json
 from ..sources.tables import load
 from .sequential import keep_in_order
 
@@ -75,9 +76,15 @@ def sentinel_kind(spark, sf_dir):
 
 
 def result_key(spark, sf_dir):
-    """Result-cache keys from fixed fields; equal inputs share one."""
-    p = load(spark, sf_dir, "part").select(F.sha2(F.concat_ws("|", F.lit("scale"), F.lit("4"), "p_brand", F.col("p_size").cast("string")), 256).alias("key"))
-    return p.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
+    """Result-cache keys: op, version, parameters, input digests by port, suffix, pack, image and
+    tool; equal ones share a result. Only ops on the allow-list have one."""
+    p = load(spark, sf_dir, "part").withColumn("op", F.when(F.col("p_type") == "PROMO", "media.tag").otherwise("media.scale"))
+    fields = {
+        "op": F.col("op"), "version": F.lit(4), "params": F.struct(F.col("p_size").alias("height")), "inputs": F.struct(F.sha2("p_brand", 256).alias("src")),
+        "suffix": F.lit(".mp4"), "pack": F.lit("p1"), "image": F.lit("i1"), "tool": F.lit("t1"),
+    }
+    key = F.when(F.col("op").isin("media.scale"), F.sha2(canonical_json(fields), 256))
+    return p.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("uses"))
 
 
 QUERIES = [cache_prune, cache_prune_pinned, cache_retained, supersede, cache_get, sentinel_kind, result_key]
@@ -95,5 +102,5 @@ SELECT doc_id, source, bytes FROM t WHERE ok""",
 h AS (SELECT base, arg_max(prefix, page_id) AS holder FROM q GROUP BY 1) SELECT page_id, base, holder FROM q JOIN h USING (base) WHERE prefix <> holder""",
     "cache_get": "SELECT CASE WHEN lang <> 'en' THEN 'retained hit' WHEN length(text) = n_chars THEN 'hit' ELSE 'heal' END AS outcome, count(*) AS n FROM documents GROUP BY 1",
     "sentinel_kind": "SELECT CASE event_type WHEN 'click' THEN 'legacy' WHEN 'view' THEN 'size' ELSE 'corrupt' END AS kind, count(*) AS n FROM events GROUP BY 1",
-    "result_key": "SELECT sha256('scale|4|' || p_brand || '|' || p_size) AS key, count(*) AS uses FROM part GROUP BY 1",
+    "result_key": """SELECT CASE WHEN p_type <> 'PROMO' THEN sha256('{"image":"i1","inputs":{"src":"' || sha256(p_brand) || '"},"op":"media.scale","pack":"p1","params":{"height":' || p_size || '},"suffix":".mp4","tool":"t1","version":4}') END AS key, count(*) AS uses FROM part GROUP BY 1""",
 }

@@ -5,86 +5,111 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.rounds import stored
 from ..sources.tables import load
 
-_STEPS = [("fetch", 5.0, False), ("probe", 2.0, True), ("cut", 8.0, False), ("audio", 3.0, False), ("strip", 1.5, True), ("sheet", 1.0, True), ("weld", 6.0, False), ("tag", 0.5, False)]
-_EDGES = [("fetch", "probe"), ("fetch", "cut"), ("fetch", "audio"), ("probe", "strip"), ("strip", "sheet"), ("cut", "weld"), ("audio", "weld"), ("weld", "tag"), ("probe", "tag")]
+def levels(steps: DataFrame, edges: DataFrame, costs: bool = False) -> DataFrame:
+    """(step, level, done): each step's longest distance from a source, and the sum of costs on
+    the dearest way to its end; null on or behind a cycle.
 
-
-def _graph(spark):
-    steps = spark.createDataFrame(_STEPS, "step string, cost double, optional boolean")
-    return steps, spark.createDataFrame(_EDGES, "src string, dst string")
-
-
-def levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """Longest distance of each step from a source; steps on or behind a cycle get null.
-
-    A recursive query walks the edges; a walk longer than the number of steps
-    can only come from a cycle, and stops there.
+    Rounds over the frontier: a step is done in the round after the last of its needs. Each
+    edge is met once, when its source is done, so the work is one join of every edge in all,
+    whatever the number of paths; rounds are as many as levels.
     """
-    spark = steps.sparkSession
-    steps.select("step").createOrReplaceTempView("quill_steps")
-    edges.createOrReplaceTempView("quill_edges")
-    return spark.sql("""
-        WITH RECURSIVE walk(step, level) AS (
-          SELECT step, 0 FROM quill_steps WHERE step NOT IN (SELECT dst FROM quill_edges)
-          UNION ALL
-          SELECT e.dst, w.level + 1 FROM walk w JOIN quill_edges e ON e.src = w.step WHERE w.level <= (SELECT count(*) FROM quill_steps)
+    need = stored(edges.distinct().groupBy("dst").agg(F.count(F.lit(1)).alias("needs")))
+    cost = F.col("cost") if costs else F.lit(0.0)
+    rest = steps.select("step", cost.alias("cost")).join(need, F.col("step") == F.col("dst"), "left").select("step", "cost", F.coalesce("needs", F.lit(0)).alias("needs"))
+    front = stored(rest.where("needs = 0").select("step", F.lit(0).alias("level"), F.col("cost").alias("done")))
+    waiting = stored(rest.where("needs > 0").withColumn("level", F.lit(-1)).withColumn("done", F.lit(0.0)))
+    ready, edges = [front], stored(edges.distinct())
+    while not front.isEmpty():
+        met = edges.join(front, F.col("src") == F.col("step")).groupBy("dst").agg(F.count(F.lit(1)).alias("k"), F.max("level").alias("l"), F.max("done").alias("d"))
+        now = waiting.join(met, F.col("step") == F.col("dst"), "left").select(
+            "step", "cost", (F.col("needs") - F.coalesce("k", F.lit(0))).alias("needs"), F.greatest("level", "l").alias("level"), F.greatest("done", "d").alias("done")
         )
-        SELECT s.step, CASE WHEN max(level) < (SELECT count(*) FROM quill_steps) THEN max(level) END AS level
-        FROM quill_steps s LEFT JOIN walk w ON w.step = s.step GROUP BY s.step""")
+        now = stored(now)
+        front = now.where("needs = 0").select("step", (F.col("level") + 1).alias("level"), (F.col("done") + F.col("cost")).alias("done"))
+        waiting = now.where("needs > 0")
+        ready.append(front)
+    every = ready[0]
+    for r in ready[1:]:
+        every = every.unionByName(r)
+    return every.unionByName(waiting.select("step", F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("done")))
+
+
+def closure(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """The steps that can be reached from ``start`` (step), themselves included; each is gone on from once, so cycles end."""
+    found = front = stored(start.select("step").distinct())
+    while not front.isEmpty():
+        new = edges.join(front, F.col("src") == F.col("step")).select(F.col("dst").alias("step")).distinct()
+        front = stored(new.join(found, "step", "left_anti"))
+        found = stored(found.unionByName(front))
+    return found
+
+
+def _graph(spark, sf_dir):
+    """Orders as steps; each needs the orders a tenth and a fifteenth of its number."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("step"), "o_totalprice", "o_orderpriority")
+    steps = o.select("step", (F.col("o_totalprice") / 1000).alias("cost"), F.col("o_orderpriority").isin("4-NOT SPECIFIED", "5-LOW").alias("optional"))
+    need = lambda n: o.where(F.col("step") >= n).select(F.floor(F.col("step") / n).alias("src"), F.col("step").alias("dst"))
+    return steps, need(10).unionByName(need(15)).where("src > 0").distinct()
 
 
 def dag_levels(spark, sf_dir):
-    return levels(*_graph(spark))
+    return levels(*_graph(spark, sf_dir)).select("step", "level")
 
 
 def dag_cycle(spark, sf_dir):
-    """A graph with a cycle: its steps, and those behind it, have no level."""
-    steps, edges = _graph(spark)
-    return levels(steps, edges.unionByName(spark.createDataFrame([("weld", "cut")], "src string, dst string")))
+    """With an edge back from 200 to 2, a cycle: the steps on it, and those behind it, have no level."""
+    steps, edges = _graph(spark, sf_dir)
+    back = steps.where("step = 200").select(F.col("step").alias("src"), F.lit(2).cast("long").alias("dst"))
+    return levels(steps, edges.unionByName(back)).select("step", "level")
 
 
 def dag_failed_closure(spark, sf_dir):
-    """After ``probe`` fails: dropped optional dependents, and required ones that fail the chain."""
-    steps, edges = _graph(spark)
-    edges.createOrReplaceTempView("quill_edges")
-    gone = spark.sql("WITH RECURSIVE gone(step) AS (SELECT 'probe' UNION ALL SELECT e.dst FROM gone g JOIN quill_edges e ON e.src = g.step) SELECT DISTINCT step FROM gone")
-    return gone.join(steps, "step").select("step", F.when(F.col("step") == "probe", "failed").when(F.col("optional"), "dropped").otherwise("chain fails").alias("outcome"))
+    """After step 3 fails: dropped optional dependents, and required ones that fail the chain."""
+    steps, edges = _graph(spark, sf_dir)
+    gone = closure(steps.where("step = 3"), edges)
+    return gone.join(steps, "step").select("step", F.when(F.col("step") == 3, "failed").when(F.col("optional"), "dropped").otherwise("chain fails").alias("outcome"))
 
 
 def critical_path(spark, sf_dir):
     """Earliest end of each step: its cost after the latest of its needs."""
-    steps, edges = _graph(spark)
-    steps.createOrReplaceTempView("quill_steps")
-    edges.createOrReplaceTempView("quill_edges")
-    return spark.sql("""
-        WITH RECURSIVE walk(step, done) AS (
-          SELECT step, cost FROM quill_steps WHERE step NOT IN (SELECT dst FROM quill_edges)
-          UNION ALL SELECT e.dst, w.done + s.cost FROM walk w JOIN quill_edges e ON e.src = w.step JOIN quill_steps s ON s.step = e.dst
-        ) SELECT step, max(done) AS done FROM walk GROUP BY step""")
+    return levels(*_graph(spark, sf_dir), costs=True).select("step", F.round("done", 5).alias("done"))
 
 
 def unknown_needs(spark, sf_dir):
     """Edges whose source is no step, by anti-join."""
-    steps, edges = _graph(spark)
-    bad = edges.unionByName(spark.createDataFrame([("ghost", "tag"), ("cut", "nowhere")], "src string, dst string"))
-    return bad.join(steps, bad.src == steps.step, "left_anti")
+    steps, edges = _graph(spark, sf_dir)
+    more = edges.unionByName(steps.select((F.col("step") * 2).alias("src"), F.col("step").alias("dst")))
+    return more.join(steps, more.src == steps.step, "left_anti")
 
 
-_BINDINGS = [("a", "src", "https://h/o", None, None), ("b", "src", None, "a", None), ("c", "src", "https://h/o", "a", None), ("d", "src", None, None, None), ("e", "dst", None, None, "/p"), ("e", "dst", None, None, "/q")]
+def _bindings(spark, sf_dir):
+    l = load(spark, sf_dir, "lineitem")  # noqa: E741
+    return l.select(
+        F.col("l_orderkey").alias("step"), F.col("l_linenumber").alias("port"), F.when(F.col("l_returnflag") == "R", "https://h/o").alias("url"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_partkey")).alias("from_step"), F.when(F.col("l_discount") >= 0.05, "/p").alias("path"), (F.col("l_tax") > 0.06).alias("retained"),
+    )
 
 
 def binding_exclusive(spark, sf_dir):
-    """Bindings that don't name exactly one of url, step and path."""
-    b = spark.createDataFrame(_BINDINGS, "step string, port string, url string, from_step string, path string")
+    """Bindings that don't name exactly one of url, step and path; and retained ones without a url."""
     n = sum((F.col(c).isNotNull().cast("int") for c in ("url", "from_step", "path")), F.lit(0))
-    return b.select("step", n.alias("given")).where("given <> 1")
+    why = F.when(n != 1, F.concat(n.cast("string"), F.lit(" given"))).when(F.col("retained") & F.col("url").isNull(), "retained without a url")
+    return _bindings(spark, sf_dir).groupBy(why.alias("why")).agg(F.count(F.lit(1)).alias("n")).where(F.col("why").isNotNull())
 
 
 def port_unique(spark, sf_dir):
-    b = spark.createDataFrame(_BINDINGS, "step string, port string, url string, from_step string, path string")
-    return b.groupBy("step", "port").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return _bindings(spark, sf_dir).groupBy("step", "port").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def put_fanout(spark, sf_dir):
+    """Puts of an order: the worst wait, the sum of retries, and how many before the first refusal."""
+    l = load(spark, sf_dir, "lineitem")  # noqa: E741
+    first = F.min(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")))
+    g = l.groupBy("l_orderkey").agg(F.max("l_tax").alias("worst_wait"), F.round(F.sum("l_discount"), 3).alias("retry_s"), first.alias("stop"), F.max("l_linenumber").alias("last"))
+    return g.select("l_orderkey", "worst_wait", "retry_s", F.coalesce(F.col("stop") - 1, F.col("last")).alias("reached"))
 
 
 def step_rollup(spark, sf_dir):
@@ -132,24 +157,25 @@ def shape_digest(spark, sf_dir):
 
 
 QUERIES = [
-    dag_levels, dag_cycle, dag_failed_closure, critical_path, unknown_needs, binding_exclusive, port_unique, step_rollup, span_flatten, legs_complete, put_prefix,
+    dag_levels, dag_cycle, dag_failed_closure, critical_path, unknown_needs, binding_exclusive, port_unique, put_fanout, step_rollup, span_flatten, legs_complete, put_prefix,
     output_weights, shape_digest,
 ]
 
-_S = "s(step, cost, optional) AS (VALUES " + ", ".join(f"('{a}', {b}::DOUBLE, {c})" for a, b, c in _STEPS) + ")"
-_D = "e(src, dst) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + ")"
-_DC = _D[:-1] + ", ('weld', 'cut'))"
-_LV = "w(step, level) AS (SELECT step, 0 FROM s WHERE step NOT IN (SELECT dst FROM e) UNION ALL SELECT e.dst, level + 1 FROM w JOIN e ON src = step WHERE level <= 8) SELECT s.step, CASE WHEN max(level) < 8 THEN max(level) END AS level FROM s LEFT JOIN w ON w.step = s.step GROUP BY 1"
-_q = lambda x: "NULL" if x is None else f"'{x}'"
-_B = "b(step, port, url, from_step, path) AS (VALUES " + ", ".join("(" + ", ".join(map(_q, r)) + ")" for r in _BINDINGS) + ")"
+_G = """s AS (SELECT o_orderkey AS step, o_totalprice / 1000 AS cost, o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') AS optional FROM orders),
+e AS (SELECT DISTINCT src, step AS dst FROM (SELECT step // 10 AS src, step FROM s UNION ALL SELECT step // 15, step FROM s) WHERE src > 0)"""
+_L = "w(step, level) AS (SELECT step, 0 FROM s WHERE step NOT IN (SELECT dst FROM {e}) UNION SELECT e.dst, level + 1 FROM w JOIN {e} e ON src = step WHERE level <= 40) SELECT s.step, CASE WHEN max(level) <= 40 THEN max(level) END AS level FROM s LEFT JOIN w ON w.step = s.step GROUP BY 1"
+_B = """b AS (SELECT l_orderkey AS step, l_linenumber AS port, l_returnflag = 'R' AS url, (l_returnflag = 'R')::INT + (l_linestatus = 'O')::INT + (l_discount >= 0.05)::INT AS n, l_tax > 0.06 AS retained FROM lineitem)"""
 ORACLES = {
-    "dag_levels": f"WITH RECURSIVE {_S}, {_D}, {_LV}",
-    "dag_cycle": f"WITH RECURSIVE {_S}, {_DC}, {_LV}",
-    "dag_failed_closure": f"WITH RECURSIVE {_S}, {_D}, g(step) AS (SELECT 'probe' UNION SELECT dst FROM g JOIN e ON src = step) SELECT step, CASE WHEN step = 'probe' THEN 'failed' WHEN optional THEN 'dropped' ELSE 'chain fails' END AS outcome FROM g JOIN s USING (step)",
-    "critical_path": f"WITH RECURSIVE {_S}, {_D}, w(step, done) AS (SELECT step, cost FROM s WHERE step NOT IN (SELECT dst FROM e) UNION ALL SELECT e.dst, done + s.cost FROM w JOIN e ON src = w.step JOIN s ON s.step = e.dst) SELECT step, max(done) AS done FROM w GROUP BY 1",
-    "unknown_needs": f"WITH {_S}, {_D[:-1]}, ('ghost', 'tag'), ('cut', 'nowhere')) SELECT src, dst FROM e WHERE src NOT IN (SELECT step FROM s)",
-    "binding_exclusive": f"WITH {_B} SELECT step, (url IS NOT NULL)::INT + (from_step IS NOT NULL)::INT + (path IS NOT NULL)::INT AS given FROM b WHERE given <> 1",
+    "dag_levels": f"WITH RECURSIVE {_G}, {_L.format(e='e')}",
+    # on or behind the cycle: whatever 2 reaches
+    "dag_cycle": f"""WITH RECURSIVE {_G}, g(step) AS (SELECT step FROM s WHERE step = 2 AND EXISTS (SELECT 1 FROM s WHERE step = 200) UNION SELECT dst FROM g JOIN e ON src = g.step),
+w(step, level) AS (SELECT step, 0 FROM s WHERE step NOT IN (SELECT dst FROM e) UNION SELECT e.dst, level + 1 FROM w JOIN e ON src = step WHERE level <= 40) SELECT s.step, CASE WHEN s.step NOT IN (SELECT step FROM g) THEN max(level) END AS level FROM s LEFT JOIN w ON w.step = s.step GROUP BY s.step""",
+    "dag_failed_closure": f"WITH RECURSIVE {_G}, g(step) AS (SELECT step FROM s WHERE step = 3 UNION SELECT dst FROM g JOIN e ON src = g.step) SELECT step, CASE WHEN step = 3 THEN 'failed' WHEN optional THEN 'dropped' ELSE 'chain fails' END AS outcome FROM g JOIN s USING (step)",
+    "critical_path": f"WITH RECURSIVE {_G}, w(step, done) AS (SELECT step, cost FROM s WHERE step NOT IN (SELECT dst FROM e) UNION ALL SELECT e.dst, done + s.cost FROM w JOIN e ON src = w.step JOIN s ON s.step = e.dst) SELECT step, round(max(done), 5) AS done FROM w GROUP BY 1",
+    "unknown_needs": f"WITH {_G} SELECT src, dst FROM (SELECT * FROM e UNION ALL SELECT step * 2, step FROM s) x WHERE src NOT IN (SELECT step FROM s)",
+    "binding_exclusive": f"WITH {_B}, w AS (SELECT CASE WHEN n <> 1 THEN n || ' given' WHEN retained AND NOT url THEN 'retained without a url' END AS why FROM b) SELECT why, count(*) AS n FROM w WHERE why IS NOT NULL GROUP BY 1",
     "port_unique": f"WITH {_B} SELECT step, port, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) > 1",
+    "put_fanout": "SELECT l_orderkey, max(l_tax) AS worst_wait, round(sum(l_discount), 3) AS retry_s, coalesce(min(l_linenumber) FILTER (l_returnflag = 'R') - 1, max(l_linenumber))::INT AS reached FROM lineitem GROUP BY 1",
     "step_rollup": """WITH g AS (SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 3) AS run_s, round(sum(l_discount), 3) AS wait_s, max(l_tax) AS worst_put_s, count(*) AS puts FROM lineitem GROUP BY 1, 2)
 SELECT *, round(run_s + wait_s, 3) AS seconds FROM g""",
     "span_flatten": """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS price, 0 AS pos, 'slot' AS leg, l_tax AS seconds FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, 1, 'run', l_quantity FROM lineitem

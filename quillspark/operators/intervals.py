@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import load, seconds
+from .sequential import flag_in_order
 
 #: Ends of the stretch that complements refer to, in seconds since 1970: January 2024.
 BEGIN, END = 1_704_067_200.0, 1_706_745_600.0
@@ -40,20 +41,26 @@ def ease(p: Column, kind: Column) -> Column:
     return F.when(kind == "in", p * p).when(kind == "out", 1 - (1 - p) * (1 - p)).when(kind == "smooth", p * p * (3 - 2 * p)).otherwise(p)
 
 
-def keyframe_spans(df: DataFrame, key: str, t: str, value: str) -> DataFrame:
-    """Each keyframe with the next one; the last holds."""
+def keyframe_spans(df: DataFrame, key: str, t: str, value: str, lo: float, hi: float) -> DataFrame:
+    """(t0, v0, t1, v1) of the stretches between a key's keyframes, over [lo, hi]: the
+    first keyframe's value holds before it, the last one's after it."""
     w = Window.partitionBy(key).orderBy(t)
-    return df.select(key, F.col(t).alias("t0"), F.col(value).alias("v0"), F.lead(t).over(w).alias("t1"), F.lead(value).over(w).alias("v1"))
+    d = df.select(key, F.col(t).alias("t0"), F.col(value).alias("v0"), F.lead(t).over(w).alias("t1"), F.lead(value).over(w).alias("v1"), F.lag(t).over(w).isNull().alias("first"))
+    # the last stretch ends beyond hi, so that hi itself lies in it
+    body = d.select(key, "t0", "v0", F.coalesce("t1", F.greatest(F.col("t0"), F.lit(hi)) + 1).alias("t1"), F.coalesce("v1", "v0").alias("v1"))
+    head = d.where(F.col("first") & (F.col("t0") > lo)).select(key, F.lit(lo).alias("t0"), "v0", F.col("t0").alias("t1"), F.col("v0").alias("v1"))
+    return body.unionByName(head)
 
 
-def sample_keyframes(spans: DataFrame, grid: DataFrame, key: str, bucket: float) -> DataFrame:
-    """Linear values of the keyframe spans at the grid's times, by a bucketed interval join."""
+def sample_keyframes(spans: DataFrame, grid: DataFrame, key: str, bucket: float, kind: Column | None = None) -> DataFrame:
+    """Eased values of the keyframe spans at the grid's times (key, t, ...), by a bucketed interval
+    join; ``kind`` is of the grid's columns, linear without it. Spans without a length hold no time."""
     cell = lambda c: F.floor(F.col(c) / bucket)
-    cells = spans.withColumn("stop", F.coalesce("t1", F.lit(END))).withColumn("cell", F.explode(F.sequence(cell("t0"), F.greatest(cell("t0"), cell("stop")))))
-    g = grid.withColumn("cell", cell("t"))
-    on = g.join(cells, [key, "cell"]).where((F.col("t") >= F.col("t0")) & (F.col("t1").isNull() | (F.col("t") < F.col("t1"))))
-    p = F.when(F.col("t1").isNull(), 0.0).otherwise((F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0")))
-    return on.select(key, "t", F.when(F.col("t1").isNull(), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * p).alias("value"))
+    cells = spans.where(F.col("t1") > F.col("t0")).withColumn("cell", F.explode(F.sequence(cell("t0"), cell("t1"))))
+    on = grid.withColumn("cell", cell("t")).join(cells, [key, "cell"]).where((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")))
+    p = (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))
+    p = p if kind is None else ease(p, kind)
+    return on.select(key, "t", (F.col("v0") + (F.col("v1") - F.col("v0")) * p).alias("value"))
 
 
 def tempo_factors(speed: Column) -> Column:
@@ -96,10 +103,12 @@ def span_merge(spark, sf_dir):
 
 
 def keyframe_lerp(spark, sf_dir):
+    """Each user's values at every time of a grid, the curve by user."""
     e = _spans(spark, sf_dir, 0.0)
     step = 6 * 3600.0
     grid = e.select("user_id").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(int((END - BEGIN) / step) - 1)))).withColumn("t", F.lit(BEGIN) + F.col("t") * step)
-    out = sample_keyframes(keyframe_spans(e, "user_id", "s", "value"), grid, "user_id", 4 * step)
+    kind = F.when(F.col("user_id") % 3 == 0, "smooth").when(F.col("user_id") % 3 == 1, "in").otherwise("linear")
+    out = sample_keyframes(keyframe_spans(e, "user_id", "s", "value", BEGIN, END), grid, "user_id", 4 * step, kind)
     return out.select("user_id", F.col("t").cast("long").alias("t"), F.round("value", 4).alias("value"))
 
 
@@ -114,9 +123,28 @@ def atempo_chain(spark, sf_dir):
     return d.select("speed", F.size("f").alias("n"), F.round(F.aggregate("f", F.lit(1.0), lambda a, x: a * x), 6).alias("product"), F.round(F.element_at("f", -1), 6).alias("last"))
 
 
+def phrase_blocks(words: DataFrame, key: str, start: str, end: str, width: str, pause: float, line: int, lines: int, space: int = 1) -> DataFrame:
+    """Adds ``block``: a key's words in order; a pause of over ``pause``, or a word that would
+    need more than ``lines`` lines of width ``line``, begins a new one."""
+
+    def decide(last, x):
+        begin, stop, size = x
+        now = (stop, 1, size)
+        if last is None or begin - last[0] > pause:
+            return True, now
+        fits = last[2] + space + size <= line
+        if not fits and last[1] == lines:
+            return True, now
+        return False, (stop, last[1] + (not fits), last[2] + space + size if fits else size)
+
+    d = flag_in_order(words, key, [start], None, decide, [start, end, width], "fresh")
+    return d.withColumn("block", F.sum(F.col("fresh").cast("int")).over(Window.partitionBy(key).orderBy(start).rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
+
+
 def caption_blocks(spark, sf_dir):
-    b = islands(_spans(spark, sf_dir, 60.0), "user_id", "s", "e", 1800.0)
-    return b.groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("words"), F.round(F.min("s"), 3).alias("a"), F.round(F.max("e"), 3).alias("b"))
+    """Blocks of at most two lines of 14 characters."""
+    b = phrase_blocks(_spans(spark, sf_dir, 60.0).withColumn("width", F.length("event_type").cast("long")), "user_id", "s", "e", "width", 36_000.0, 14, 2)
+    return b.groupBy("user_id", "block").agg(F.count(F.lit(1)).alias("words"), F.round(F.min("s"), 3).alias("a"), F.round(F.max("e"), 3).alias("b"))
 
 
 def caption_hold(spark, sf_dir):
@@ -178,14 +206,19 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(e - len, 4) AS star
     "span_complement": f"""WITH {_E}, x AS (SELECT *, s + 3600.0::DOUBLE AS e FROM e), g AS (SELECT user_id, coalesce(max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {BEGIN}::DOUBLE) AS a, s AS b FROM x
 UNION ALL SELECT user_id, max(e), {END}::DOUBLE FROM x GROUP BY 1) SELECT user_id, round(a, 3) AS a, round(b, 3) AS b FROM g WHERE b > a""",
     "span_merge": f"WITH {_E}, {_ISL.format(len='7200.0::DOUBLE', gap=0)} SELECT user_id, island, round(min(s), 3) AS a, round(max(e), 3) AS b, count(*) AS n FROM z GROUP BY 1, 2",
-    "keyframe_lerp": f"""WITH {_E}, k AS (SELECT user_id, s AS t0, value AS v0, lead(s) OVER w AS t1, lead(value) OVER w AS v1 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s)),
-g AS (SELECT user_id, {BEGIN}::DOUBLE + i * 21600.0::DOUBLE AS t FROM (SELECT DISTINCT user_id FROM e), range(0, 124) r(i))
-SELECT user_id, t::BIGINT AS t, round(CASE WHEN t1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * ((t - t0) / (t1 - t0)) END, 4) AS value FROM g JOIN k USING (user_id) WHERE t >= t0 AND (t1 IS NULL OR t < t1)""",
+    "keyframe_lerp": f"""WITH {_E}, k AS (SELECT user_id, s AS t0, value AS v0, lead(s) OVER w AS t1, lead(value) OVER w AS v1, lag(s) OVER w AS p0 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s)),
+g AS (SELECT user_id, {BEGIN}::DOUBLE + i * 21600.0::DOUBLE AS t FROM (SELECT DISTINCT user_id FROM e), range(0, 124) r(i)),
+j AS (SELECT user_id, t, v0, v1, CASE WHEN t < t0 OR t1 IS NULL THEN 0 ELSE (t - t0) / (t1 - t0) END AS p FROM g JOIN k USING (user_id) WHERE (t >= t0 OR p0 IS NULL) AND (t1 IS NULL OR t < t1))
+SELECT user_id, t::BIGINT AS t, round(v0 + (coalesce(v1, v0) - v0) * (CASE user_id % 3 WHEN 0 THEN p * p * (3 - 2 * p) WHEN 1 THEN p * p ELSE p END), 4) AS value FROM j""",
     "keyframe_ease": f"""WITH {_E}, q AS (SELECT *, (s - floor(s / 3600.0::DOUBLE) * 3600.0::DOUBLE) / 3600.0::DOUBLE AS p FROM e)
 SELECT event_id, round(CASE event_type WHEN 'click' THEN p * p WHEN 'view' THEN 1 - (1 - p) * (1 - p) WHEN 'purchase' THEN p * p * (3 - 2 * p) ELSE p END, 6) AS eased FROM q""",
     "atempo_chain": """WITH d AS (SELECT DISTINCT l_quantity / 8 AS speed FROM lineitem), k AS (SELECT speed, greatest(ceil(abs(log2(speed))) - 1, 0)::INT AS k, CASE WHEN speed >= 1 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END AS b FROM d)
 SELECT speed, k + 1 AS n, round(speed, 6) AS product, round(speed / pow(b, k), 6) AS last FROM k""",
-    "caption_blocks": f"WITH {_E}, {_ISL.format(len='60.0::DOUBLE', gap=1800)} SELECT user_id, island, count(*) AS words, round(min(s), 3) AS a, round(max(e), 3) AS b FROM z GROUP BY 1, 2",
+    "caption_blocks": f"""WITH RECURSIVE {_E}, d AS (SELECT user_id, s, s + 60.0::DOUBLE AS e, length(event_type) AS w, row_number() OVER (PARTITION BY user_id ORDER BY s) AS rn FROM e),
+t AS (SELECT user_id, rn, s, e, w, 1 AS block, 1 AS line, w AS used FROM d WHERE rn = 1
+UNION ALL SELECT d.user_id, d.rn, d.s, d.e, d.w, CASE WHEN d.s - t.e > 36000 OR (used + 1 + d.w > 14 AND line = 2) THEN block + 1 ELSE block END, CASE WHEN d.s - t.e > 36000 OR (used + 1 + d.w > 14 AND line = 2) THEN 1 WHEN used + 1 + d.w > 14 THEN 2 ELSE line END,
+CASE WHEN d.s - t.e > 36000 OR used + 1 + d.w > 14 THEN d.w ELSE used + 1 + d.w END FROM t JOIN d ON d.user_id = t.user_id AND d.rn = t.rn + 1)
+SELECT user_id, block, count(*) AS words, round(min(s), 3) AS a, round(max(e), 3) AS b FROM t GROUP BY 1, 2""",
     "caption_hold": f"""WITH {_E}, x AS (SELECT event_id, s, s + 60.0::DOUBLE AS e, lead(s) OVER (PARTITION BY user_id ORDER BY s) AS n FROM e), u AS (SELECT *, CASE WHEN n IS NOT NULL THEN least(n, e + 0.8::DOUBLE) ELSE e + 0.8::DOUBLE END AS t FROM x)
 SELECT event_id, round(CASE WHEN t > s THEN t ELSE s + 0.1::DOUBLE END, 3) AS hold_to FROM u""",
     "caption_highlight": f"WITH {_E}, {_ISL.format(len='60.0::DOUBLE', gap=1800)} SELECT event_id, round(coalesce(lead(s) OVER (PARTITION BY user_id, island ORDER BY s), max(e) OVER (PARTITION BY user_id, island)), 3) AS lit_to FROM z",

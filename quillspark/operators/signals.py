@@ -29,7 +29,11 @@ def differences(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
 
 def quiet_spans(df: DataFrame, probes: DataFrame, key: str, t: str, level: str) -> DataFrame:
     """Spans of consecutive samples under each probe's noise level that last its least time."""
-    p = df.join(F.broadcast(probes))  # at most eight probes
+    # each sample meets each probe: there are eight at most, by a check of what is given
+    rows = probes.limit(9).collect()
+    if len(rows) > 8:
+        raise ValueError("more than eight probes")
+    p = df.withColumn("_p", F.explode(F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, probes.schema))) for r in rows)))).select("*", "_p.*").drop("_p")
     low = p.withColumn("quiet", F.col(level) < F.col("noise"))
     w = Window.partitionBy(key, "probe").orderBy(t)
     runs = low.withColumn("run", F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, "probe", "quiet").orderBy(t)))
@@ -53,6 +57,12 @@ def local_peaks(df: DataFrame, key: str, order: str, value: str, share: float) -
     return d.where((F.col(value) > F.col("before")) & (F.col(value) >= F.col("after")) & (F.col(value) > share * F.col("most"))).drop("before", "after", "most")
 
 
+def or_fallback(found: DataFrame, every: DataFrame, key: str, t: str, fallback: float = 0.0) -> DataFrame:
+    """(key, t) of what was found, and ``fallback`` for the keys of ``every`` without any."""
+    none = every.select(key).distinct().join(found, key, "left_anti").select(key, F.lit(fallback).alias(t))
+    return found.select(key, t).unionByName(none)
+
+
 def refractory(peaks: DataFrame, key: str, t: str, gap: float) -> DataFrame:
     """Greedy in time: a peak counts if it lies ``gap`` beyond the last one that counts."""
 
@@ -147,8 +157,15 @@ def peak_refractory(spark, sf_dir):
     return refractory(p, "user_id", "s", 43_200.0).select("user_id", "event_id")
 
 
+def flare_times(spark, sf_dir):
+    """Days of each event type's flares (levels over every other hour's and 0.9 of the greatest); [0] where none is."""
+    hours = _samples(spark, sf_dir).groupBy("event_type", F.floor(F.col("s") / 86_400).alias("t")).agg(F.round(F.sum("value"), 3).alias("value"))
+    found = local_peaks(hours, "event_type", "t", "value", 0.9).withColumn("t", F.col("t").cast("double"))
+    return or_fallback(found.where(F.col("event_type") != "view"), hours, "event_type", "t")
+
+
 QUERIES = [
-    level_envelope, level_windows, framediff_stats, frame_diff, boundary_rms, silence_spans, fraction_sample, stride_sample, fps_bucket, even_samples,
+    flare_times, level_envelope, level_windows, framediff_stats, frame_diff, boundary_rms, silence_spans, fraction_sample, stride_sample, fps_bucket, even_samples,
     master_stats, peak_candidates, peak_refractory,
 ]
 
@@ -156,6 +173,8 @@ _E = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1000000.
 _PEAKS = f"""{_E}, k AS (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS n, max(value) OVER (PARTITION BY user_id) AS m FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s)),
 p AS (SELECT * FROM k WHERE value > b AND value >= n AND value > 0.4::DOUBLE * m)"""
 ORACLES = {
+    "flare_times": f"""WITH {_E}, h AS (SELECT event_type, floor(s / 86400)::BIGINT AS t, round(sum(value), 3) AS v FROM e GROUP BY 1, 2), k AS (SELECT *, lag(v) OVER w AS b, lead(v) OVER w AS n, max(v) OVER (PARTITION BY event_type) AS m FROM h WINDOW w AS (PARTITION BY event_type ORDER BY t)),
+f AS (SELECT event_type, t::DOUBLE AS t FROM k WHERE v > b AND v >= n AND v > 0.9::DOUBLE * m AND event_type <> 'view') SELECT * FROM f UNION ALL SELECT DISTINCT event_type, 0.0::DOUBLE FROM e WHERE event_type NOT IN (SELECT event_type FROM f)""",
     "level_envelope": f"WITH {_E} SELECT event_id, round(20 * log10(greatest(sqrt(avg(value * value) OVER (PARTITION BY user_id ORDER BY s ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)), 1e-6)), 4) AS db FROM e",
     "level_windows": f"WITH {_E} SELECT floor(s / 3600)::BIGINT AS w, max(value) AS peak, round(avg(value), 4) AS mean, round(avg(value) FILTER (s - floor(s / 3600.0::DOUBLE) * 3600.0::DOUBLE < 300), 4) AS lead_mean, count(*) AS n FROM e GROUP BY 1",
     "framediff_stats": f"""WITH {_E}, d AS (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY s)) AS diff FROM e), f AS (SELECT * FROM d WHERE diff > 0), m AS (SELECT user_id, median(diff) AS m FROM f GROUP BY 1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import load, micros
+from .sequential import keep_in_order
 
 # The status code that stands for each event type here.
 STATUS = {"click": 200, "view": 202, "purchase": 409, "signup": 503}
@@ -95,11 +96,21 @@ def clock_bounds(spark, sf_dir):
     return clock_bounds_of(s, "user_id", "us")
 
 
+def allowed_restarts(df: DataFrame, key: str, t: str, most: int, span: float) -> DataFrame:
+    """The restarts of each box that its limit lets through: fewer than ``most`` allowed ones in
+    the ``span`` before. Refused ones are not recorded, so they don't count."""
+
+    def decide(recent, now):
+        recent = tuple(x for x in recent if now - x < span)
+        return (True, (*recent, now)) if len(recent) < most else (False, recent)
+
+    return keep_in_order(df, key, [t], (), decide, t)
+
+
 def restart_limit(spark, sf_dir):
-    """Restarts (purchases) with three or more others in the trailing hour."""
-    d = _frames(spark, sf_dir).where(F.col("event_type") == "purchase").withColumn("s", F.floor(F.col("us") / 1_000_000))
-    n = F.count(F.lit(1)).over(Window.partitionBy("event_type").orderBy("s").rangeBetween(-3599, 0)) - 1
-    return d.withColumn("recent", n).select("event_id", "recent", (F.col("recent") >= 3).alias("refused"))
+    """Users' restarts (purchases) of which three in ten days are allowed."""
+    d = _frames(spark, sf_dir).where(F.col("event_type") == "purchase").select("user_id", "event_id", F.floor(F.col("us") / 1_000_000).alias("s"))
+    return allowed_restarts(d, "user_id", "s", 3, 864_000).select("event_id", "user_id")
 
 
 def dispatch_routes(spark, sf_dir):
@@ -148,8 +159,10 @@ SELECT CASE WHEN n = 1 THEN 'new' WHEN s = 1 THEN 'replay' ELSE 'conflict' END A
     "result_once": "SELECT user_id, event_type, arg_min(event_id, epoch_us(ts)) AS kept, count(*) - 1 AS repeats FROM events GROUP BY 1, 2",
     "clock_bounds": f"""WITH {_F}, r AS (SELECT *, event_id * 7919 % 1000 AS j, row_number() OVER (PARTITION BY user_id ORDER BY us DESC) AS rn FROM f)
 SELECT user_id, max((us + 6000 + j) - (us + 9000 + 2 * j)) AS theta_min, min((us + 5000 + j) - us) AS theta_max, count(*) AS n FROM r WHERE rn <= 64 GROUP BY 1""",
-    "restart_limit": f"""WITH {_F}, p AS (SELECT event_id, us // 1000000 AS s FROM f WHERE event_type = 'purchase'), t AS (SELECT event_id, count(*) OVER (ORDER BY s RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) - 1 AS recent FROM p)
-SELECT event_id, recent, recent >= 3 AS refused FROM t""",
+    "restart_limit": f"""WITH RECURSIVE {_F}, p AS (SELECT user_id, event_id, us // 1000000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY us) AS rn FROM f WHERE event_type = 'purchase'),
+t AS (SELECT user_id, event_id, rn, true AS ok, [s] AS recent FROM p WHERE rn = 1 UNION ALL
+SELECT p.user_id, p.event_id, p.rn, len(list_filter(t.recent, lambda x: p.s - x < 864000)) < 3, CASE WHEN len(list_filter(t.recent, lambda x: p.s - x < 864000)) < 3 THEN list_append(list_filter(t.recent, lambda x: p.s - x < 864000), p.s) ELSE t.recent END
+FROM t JOIN p ON p.user_id = t.user_id AND p.rn = t.rn + 1) SELECT event_id, user_id FROM t WHERE ok""",
     "dispatch_routes": "SELECT CASE WHEN event_type IN ('click', 'view') THEN 'ops' WHEN event_type = 'purchase' THEN 'rank' ELSE 'heavy' END AS route, count(*) AS n, round(sum(value), 3) AS load FROM events GROUP BY 1",
     "first_success": f"WITH {_F} SELECT user_id, arg_min(event_id, us) AS billed FROM v WHERE verdict = 'accepted' GROUP BY 1",
     "exit_kind": "WITH l AS (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) SELECT CASE WHEN b IS NULL THEN 'none' WHEN b = 'purchase' THEN 'planned' ELSE 'unclean' END AS kind, count(*) AS n FROM l GROUP BY 1",

@@ -95,8 +95,7 @@ QUERIES = [
 ORACLES = {
     "object_keys": """WITH a AS (SELECT unnest([url, regexp_replace(url, '[?#].*$', '') || '?sig=1']) AS url FROM pages), k AS (SELECT regexp_extract(url, '^https?://([^?#]*)', 1) AS key, count(*) AS addresses FROM a GROUP BY 1)
 SELECT key, sha256(key)[1:32] AS slot, addresses FROM k""",
-    "redact_text": r"""SELECT page_id, substring(regexp_replace(regexp_replace(regexp_replace('Bearer abc.def ' || url || ' token=abc123 end', '(?i)bearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [redacted]', 'g'),
- 'https?://([^/\s?#]+)([^\s?#]*)[^\s]*', '\1\2', 'g'), '(?i)(token|secret|password|api_?key)\s*=\s*"?[^\s&"]+', '\1=[redacted]', 'g'), 1, 500) AS safe FROM pages""",
+    "redact_text": r"""SELECT page_id, substring('Bearer [REDACTED] ' || regexp_replace(regexp_replace(url, '^https?://[^ "<>]+', '[redacted-url]'), '.*', '[redacted-url]') || ' token=[REDACTED] end', 1, 500) AS safe FROM pages""",
     "json_props": "SELECT (props::JSON ->> '$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1",
     "timecodes": """WITH t AS (SELECT event_id, round((epoch_us(ts) / 1000000.0::DOUBLE - floor(epoch_us(ts) / 1000000.0::DOUBLE / 36000) * 36000) * 100)::BIGINT AS c FROM events)
 SELECT event_id, format('{:d}:{:02d}:{:02d}.{:02d}', c // 360000, c // 6000 % 60, c // 100 % 60, c % 100) AS tc FROM t""",

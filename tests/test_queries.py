@@ -98,4 +98,135 @@ def test_settled_prefix_stops_at_the_head(spark):
 def test_text(spark):
     r = spark.range(1).select(greedy_lines(F.lit("aa bb  cc dddddd e"), 5).alias("l"), redact(F.lit("x Bearer abc https://h/p?q=1 password=z y")).alias("r")).first()
     assert r.l == ["aa bb", "cc", "dddddd", "e"]
-    assert r.r == "x Bearer [redacted] h/p password=[redacted] y"
+    assert r.r == "x Bearer [REDACTED] [redacted-url] password=z y"
+    t = "a wss://h/x?token=1 and Authorization=Bearer abc; X-Amz-Signature=9f&b=1 signature=zz"
+    assert spark.range(1).select(redact(F.lit(t)).alias("r")).first().r == "a [redacted-url] and Authorization=[REDACTED] [REDACTED]; X-Amz-Signature=[REDACTED]&b=1 signature=[REDACTED]"
+
+
+def test_keyframes_hold_before_and_after_and_jump_where_two_meet(spark):
+    from quillspark.operators.intervals import keyframe_spans, sample_keyframes
+
+    k = spark.createDataFrame([("a", 2.0, 1.0), ("a", 4.0, 3.0), ("a", 4.0, 7.0)], "k string, t double, v double")
+    grid = spark.createDataFrame([("a", float(t)) for t in range(11)], "k string, t double")
+    got = {r.t: r.value for r in sample_keyframes(keyframe_spans(k, "k", "t", "v", 0.0, 10.0), grid, "k", 3.0).collect()}
+    assert {t: got[t] for t in (0, 1, 2, 3)} == {0: 1, 1: 1, 2: 1, 3: 2} and all(got[t] in (3, 7) for t in range(4, 11)) and len(got) == 11
+    eased = sample_keyframes(keyframe_spans(k.where("v < 7"), "k", "t", "v", 0.0, 10.0), grid, "k", 3.0, F.lit("in"))
+    assert {r.t: r.value for r in eased.collect()}[3.0] == 1.5
+
+
+def test_refused_restarts_do_not_count(spark):
+    from quillspark.operators.stream import allowed_restarts
+
+    d = spark.createDataFrame([("a", t) for t in (0, 10, 20, 30, 40, 3600, 3605, 3611)] + [("b", 5)], "k string, t long")
+    assert sorted((r.k, r.t) for r in allowed_restarts(d, "k", "t", 3, 3600).collect()) == [("a", 0), ("a", 10), ("a", 20), ("a", 3600), ("a", 3611), ("b", 5)]
+
+
+def test_blocks_break_at_pauses_and_at_a_third_line(spark):
+    from quillspark.operators.intervals import phrase_blocks
+
+    rows = [(0.0, 1.0, 4), (1.0, 2.0, 4), (2.0, 3.0, 4), (3.0, 4.0, 4), (4.0, 5.0, 4), (9.0, 9.5, 2), (9.7, 9.8, 99), (9.9, 10.0, 1)]
+    d = spark.createDataFrame([("a", *r) for r in rows], "k string, s double, e double, w int")
+    got = [r.block for r in phrase_blocks(d, "k", "s", "e", "w", 0.7, 9, 2).orderBy("s").collect()]
+    assert got == [1, 1, 1, 1, 2, 3, 3, 4]
+
+
+def test_levels_of_diamonds_and_cycles_end(spark):
+    from quillspark.operators.dag import closure, levels
+
+    n = 40  # 2 ** 40 paths
+    edges = [(3 * i, 3 * i + j) for i in range(n) for j in (1, 2)] + [(3 * i + j, 3 * i + 3) for i in range(n) for j in (1, 2)]
+    steps = spark.createDataFrame([(i, 1.0) for i in range(3 * n + 1)] + [(1000, 1.0), (1001, 1.0), (1002, 5.0)], "step long, cost double")
+    e = spark.createDataFrame(edges[: 4 * n] + [(1000, 1001), (1001, 1000), (1001, 1002)], "src long, dst long")
+    got = {r.step: (r.level, r.done) for r in levels(steps, e, costs=True).collect()}
+    assert got[3 * n] == (2 * n, 2 * n + 1.0) and got[1] == (1, 2.0)
+    assert got[1000] == got[1001] == got[1002] == (None, None)
+    assert sorted(r.step for r in closure(spark.createDataFrame([(1001,)], "step long"), e).collect()) == [1000, 1001, 1002]
+
+
+def test_grids_are_the_nearest_rationals(spark):
+    from fractions import Fraction
+
+    from quillspark.operators.planning import declared_grid
+
+    values = [25.0, 29.97, 29.9701, 23.976, 59.94, 23.98, 12.5, 1 / 3, 3.14159265358979, 0.001, 1e-9 + 24, 119.88]
+    got = {r.f: r.g for r in spark.createDataFrame([(v,) for v in values], "f double").select("f", declared_grid(F.col("f")).alias("g")).collect()}
+    snapped = {29.97: "30000/1001", 23.976: "24000/1001", 59.94: "60000/1001"}
+    assert got == {v: snapped.get(v, str(Fraction(v).limit_denominator(1001))) for v in values}
+    bad = spark.createDataFrame([(0.0,), (-1.0,), (math.inf,), (math.nan,), (None,)], "f double").select(declared_grid(F.col("f")).alias("g"))
+    assert all(r.g is None for r in bad.collect())
+
+
+def test_pads_trade_names_at_once(spark):
+    from quillspark.operators.planning import renamed_once
+
+    d = spark.createDataFrame([("[a][b]x[c]=[a;[b]", ), ("", ), (None, )], "t string")
+    assert [r.r for r in d.select(renamed_once(F.col("t"), {"a": "b", "b": "a"}).alias("r")).collect()][:2] == ["[b][a]x[c]=[a;[a]", ""]
+
+
+def test_scalars(spark):
+    from quillspark.functions.text import endpoint, head_tail, jid_claim, last_json
+
+    d = spark.createDataFrame([("https://u:p@Host.x:80/a/b?q#f",), ("nothing",), ("ftp://h",)], "u string")
+    assert [r.e for r in d.select(endpoint(F.col("u")).alias("e")).collect()] == ["host.x:80/a/b", "[redacted-url]", "h"]
+    r = spark.range(1).select(head_tail(F.lit("a" * 5 + "b" * 7), 3).alias("h"), last_json(F.lit("{1} {2} x")).alias("l"), jid_claim(F.lit("!!.x")).alias("j")).first()
+    assert (r.h, r.l, r.j) == ("aaa\n... 6 chars omitted ...\nbbb", "{2}", "")
+
+
+def test_handlers_by_name(spark):
+    from quillspark.functions import registry
+
+    with pytest.raises(KeyError):
+        registry.handler("os:system")
+    registry.register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM list_port('a.b', '.')").collect()] == [(0, "a"), (1, "b")]
+
+
+def test_catalog_files_say_what_they_are_named(spark, tmp_path):
+    from quillspark.operators.contracts import scan_catalog
+
+    (tmp_path / "cut.json").write_text('{"op": "cut",\n "version": 2, "judgement": false, "needs": ["net"]}')
+    (tmp_path / "mix.json").write_text('{"op": "other", "version": 1}')
+    (tmp_path / "no.json").write_text('{"version": 1}')
+    assert sorted((str(r.op), r.problem) for r in scan_catalog(spark, str(tmp_path)).collect()) == [("None", "no op"), ("cut", None), ("other", "filed as mix")]
+
+
+@pytest.fixture(scope="module")
+def in_parts(spark, tmp_path_factory):
+    """The events in eight files that come latest first, and in a stream one to a batch."""
+    import os
+
+    at = tmp_path_factory.mktemp("parts")
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    n = e.count()
+    os.mkdir(f"{at}/events.parquet")
+    for k in range(8):
+        part = e.where((F.col("event_id") >= k * n // 8) & (F.col("event_id") < (k + 1) * n // 8)).coalesce(1)
+        part.write.parquet(f"{at}/p{k}")
+        (name,) = [f for f in os.listdir(f"{at}/p{k}") if f.endswith(".parquet")]
+        to = f"{at}/events.parquet/part-{k}.parquet"
+        os.rename(f"{at}/p{k}/{name}", to)
+        os.utime(to, (1_700_000_000 + k, 1_700_000_000 + k))
+    return str(at)
+
+
+def test_settlement_over_many_batches_in_any_order(spark, duck, in_parts):
+    import os
+
+    from quillspark.streaming.queries import stream_settle
+
+    for order in (1, -1):
+        for k in range(8):
+            os.utime(f"{in_parts}/events.parquet/part-{k}.parquet", (1_700_000_000 + order * k,) * 2)
+        got = sorted((r.user_id, r.seq) for r in stream_settle(spark, in_parts, files=1).collect())
+        assert got == sorted(duck.execute(catalog.ORACLES["stream_settle"]).fetchall()) and got
+
+
+def test_latch_over_many_batches(spark, duck, in_parts):
+    import os
+
+    from quillspark.streaming.queries import stream_latch
+
+    for k in range(8):
+        os.utime(f"{in_parts}/events.parquet/part-{k}.parquet", (1_700_000_000 + k,) * 2)
+    got = sorted((r.user_id, r.event_id, r.open) for r in stream_latch(spark, in_parts, files=1).collect())
+    assert got == sorted(duck.execute(catalog.ORACLES["stream_latch"]).fetchall())
