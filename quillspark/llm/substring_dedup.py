@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, odd_multipliers, ranges, slices, texts
+from .common import cut, discard, mix64, odd_multipliers, ranges, slices, texts
 
 GRAM, SEED = 128, 20_240_307
 RANGES = "array<struct<start:int,n:int>>"
@@ -114,13 +114,14 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     the ranks that lie ``h`` bytes on.
     """
     n = len(data)
-    pad = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    pad = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.zeros(n, np.uint64)
     for k in range(8):
-        word |= pad[k : k + n] << np.uint64(56 - 8 * k)
+        word |= pad[k : k + n].astype(np.uint64) << np.uint64(56 - 8 * k)
     sa = np.argsort(word)
     w = word[sa]
     first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+    del w, word, pad
     rank = np.full(n + 1, -1, np.int64)
     rank[sa] = np.repeat(first, np.diff(np.append(first, n)))
     # a suffix shorter than eight bytes differs from one that goes on with zero bytes
@@ -156,11 +157,11 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, begin: np.ndarray, size: n
     n = len(data)
     place = np.empty(n, np.int64)
     place[sa] = np.arange(n)
-    text = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    text = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.zeros(n, np.uint64)
     for k in range(8):
-        word |= text[k : k + n] << np.uint64(8 * k)
-    out = np.zeros(n, np.int64)
+        word |= text[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    out = np.zeros(n, np.int32)
     order = np.argsort(-size, kind="stable")
     begin, size = begin[order], size[order]
     h = np.zeros(len(begin), np.int64)
@@ -238,7 +239,7 @@ def _cut_out(length: int):
     return run
 
 
-def _sharded(length: int, most_bytes: int = 1_600_000):
+def _sharded(length: int, most_bytes: int = 1_000_000):
     """Repeats within each shard of contexts; the input comes sorted by (h, salt)."""
 
     def solve(rows: list[dict]):
@@ -312,7 +313,7 @@ def _removed(length: int):
         for b in batches:
             ids, raw, marks = b.column(0), b.column(1).cast(pa.binary()), b.column(2)
             for x, y in slices(pa.compute.binary_length(raw).to_pylist(), 8_000_000):
-                n_bytes, n_removed, n_spans, kept, spans = [], [], [], [], []
+                n_bytes, n_removed, n_spans, kept, spans, left = [], [], [], [], [], []
                 for text, runs in zip(raw.slice(x, y - x).to_pylist(), marks.slice(x, y - x).to_pylist()):
                     out: list[list[int]] = []
                     for a, z in sorted((r["start"], r["start"] + r["n"] + length - 1) for r in runs or ()):
@@ -320,28 +321,27 @@ def _removed(length: int):
                             out[-1][1] = max(out[-1][1], z)
                         else:
                             out.append([a, z])
-                    sha, at = hashlib.sha256(), 0
-                    for a, z in out:
-                        sha.update(text[at:a])
-                        at = z
-                    sha.update(text[at:])
-                    n_bytes.append(len(text)), n_removed.append(sum(z - a for a, z in out)), n_spans.append(len(out)), kept.append(sha.hexdigest())
+                    rest = b"".join(text[a:z] for a, z in zip([0, *(z for _, z in out)], [*(a for a, _ in out), len(text)])) if out else text
+                    n_bytes.append(len(text)), n_removed.append(len(text) - len(rest)), n_spans.append(len(out)), kept.append(hashlib.sha256(rest).hexdigest())
+                    left.append(rest.decode("utf-8", "replace"))
                     spans.append([{"start": a, "end": z} for a, z in out])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(x, y - x), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
+                    [ids.slice(x, y - x), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(left, pa.string())],
+                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"],
                 )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, per_shard: int = 4096) -> DataFrame:
-    """For each row of ``docs``: n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges).
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, per_shard: int = 2048) -> DataFrame:
+    """For each row of ``docs``: n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges), text (what is left).
 
     Texts are UTF-8 bytes, null as empty. A byte goes if a ``length``-byte
     string over it starts at another place too, in this row or another one;
     repeated rows are places of their own, so they remove each other. A null
-    doc_id is a key like any other. Extra columns are not read.
+    doc_id is a key like any other. An empty table gives none. Where a cut splits a
+    character, ``text`` has U+FFFD for what is left of it; the digest is of the bytes.
+    Extra columns are not read, whatever their names.
     """
     own = docs.select("doc_id", texts().alias("text"))
     own = own.withColumn("tag", F.md5(F.col("text").cast("binary")))
@@ -371,6 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, per_sha
     placed = cand.select("doc_id", "tag", "h", "c", F.col("start").alias("s")).join(marks, ["h", "c"])
     moved = F.transform("runs", lambda r: F.struct((r["start"] + F.col("s")).cast("int").alias("start"), r["n"].alias("n")))
     by_doc = placed.select("doc_id", "tag", moved.alias("runs")).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "runs")
+    by_doc = cut(by_doc.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "runs"), "marks")
+    discard(found, twice, cand, ctx, groups, solved)
     out = own.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left")
-    return out.select("doc_id", "text", "runs").mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
+    return out.select("doc_id", "text", "runs").mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, text string")

@@ -583,10 +583,29 @@ def test_repeats(spark, per_shard):
     data = [(i, "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 40))) * rnd.randint(1, 3)) for i in range(40)]
     data += [(98, "a" * 100), (99, None), (100, ""), (101, "ab" * 30), (101, "ab" * 30), (None, "ab" * 20), (102, "\0" * 50), (103, "é" * 40)]
     want = sorted(((str(i), *b) for (i, _), b in zip(data, repeats_brute([(t or "").encode() for _, t in data], 16))))
-    got = substring_dedup.remove_repeats(frame(spark, data), length=16, gram=8, per_shard=per_shard).drop("spans").collect()
+    got = substring_dedup.remove_repeats(frame(spark, data), length=16, gram=8, per_shard=per_shard).drop("spans", "text").collect()
     assert sorted((str(r[0]), *r[1:]) for r in got) == want
 
 
+def test_repeats_of_400_bytes_and_the_text_that_is_left(spark):
+    rnd = random.Random(24)
+    word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(n) for n in (40, 51, 60, 80, 120, 400)]
+    data = [(i, f"{text(rnd.randint(0, 90))} {rnd.choice(passages)} {text(rnd.randint(0, 90))}") for i in range(60)]
+    whole = text(300)
+    data += [(100 + i, whole) for i in range(30)] + [(200 + i, whole[: 50 * i] + text(3) + whole[50 * i :]) for i in range(30)] + [(300, text(150) * 3), (None, whole), (301, None), (302, "")]
+    raw = [(t or "").encode() for _, t in data]
+    want = repeats_brute(raw, 400)
+    for per_shard in (7, 2048):
+        got = substring_dedup.remove_repeats(frame(spark, data), per_shard=per_shard).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((str(i), *w) for (i, _), w in zip(data, want))
+        for r in got:
+            assert r.n_removed == sum(s.end - s.start for s in r.spans) and (r.n_removed or r.text == dict(data)[r.doc_id] or not r.text)
+            assert "\ufffd" in r.text or hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
+    assert sum(w[1] > 0 for w in want) > 60 and sum(w[1] == 0 for w in want) > 10
+
+
 def test_suffix_array_and_prefixes():
     import numpy as np
 
