@@ -226,7 +226,7 @@ def grid_verdict(spark, sf_dir):
 def logo_window(spark, sf_dir):
     """Until when the logo shows: the end, less the held cover if one was welded."""
     hold = F.when(F.col("o_orderstatus") == "F", 2500.0).otherwise(0.0)
-    return load(spark, sf_dir, "orders").select("o_orderkey", F.round(F.greatest(F.lit(0.0), F.col("o_totalprice") / 100 - hold), 3).alias("body_end"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.round(F.greatest(F.lit(0.0), F.col("o_totalprice") / 100 - hold), 5).alias("body_end"))
 
 
 def delivery_loudness(spark, sf_dir):
@@ -276,6 +276,6 @@ SELECT user_id, t::BIGINT AS t, round(greatest(0.0::DOUBLE, least(x, 0.8::DOUBLE
     "grid_verdict": f"""WITH {_R}, x AS (SELECT r.*, grid, CASE WHEN l_tax > 0.06 THEN '25' ELSE grid END AS m, CASE WHEN l_tax < 0.02 THEN 44100 ELSE 48000 END AS rate, abs(l_quantity - (l_quantity + l_discount - 0.05::DOUBLE)) * 1000 AS delta FROM r JOIN g ON g.fps = r.fps WHERE r.fps > 0),
 y AS (SELECT l_quantity, l_tax, l_discount, fps, CASE WHEN m <> grid THEN m || ' for ' || grid END AS video_rate, CASE WHEN rate <> 48000 THEN rate END AS audio_rate, CASE WHEN delta > 2000 / fps THEN round(delta, 1) END AS av_delta_ms FROM x)
 SELECT * FROM y WHERE video_rate IS NOT NULL OR audio_rate IS NOT NULL OR av_delta_ms IS NOT NULL""",
-    "logo_window": "SELECT o_orderkey, round(greatest(0.0::DOUBLE, o_totalprice / 100 - CASE WHEN o_orderstatus = 'F' THEN 2500 ELSE 0 END), 3) AS body_end FROM orders",
+    "logo_window": "SELECT o_orderkey, round(greatest(0.0::DOUBLE, o_totalprice / 100 - CASE WHEN o_orderstatus = 'F' THEN 2500 ELSE 0 END), 5) AS body_end FROM orders",
     "delivery_loudness": "SELECT event_type, CASE WHEN event_type = 'error' AND value / 10 - 30 <= -14 THEN 'none' WHEN value / 10 - 30 > -14 THEN 'attenuate' ELSE 'normalize' END AS act, count(*) AS n FROM events GROUP BY 1, 2",
 }
