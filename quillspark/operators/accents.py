@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,9 @@ BLUR_IN, BLUR_OUT = 4, 7
 BURN_LEAD, BURN_POST, BURN_FLARE_LEAD, BURN_MOST = 0.42, 0.22, 0.18, 8
 SAFE_BOTTOM, SAFE_HEIGHT = 1565, 1920
 GROW_MS, OVERSHOOT, SCALE = 90, 120, 110
+# Envelopes of the seeded accents, frame by frame, and the ranges of their draws.
+GLITCH, FLICKER, GLITCH_DRAWS = (1.0, -0.75, 0.9, -0.55, 0.65, -0.35, 0.18), (0.9, 0.0, 1.0, 0.3, 0.7, 0.0, 0.4), ((0.72, 1.28), (0.8, 1.2))
+SPLIT, SPLIT_DRAWS = (1.0, 0.72, 0.46, 0.24, 0.10), ((0.82, 1.18),)
 
 
 def centred(at: Column, frames: int, fps: float = FPS) -> tuple[Column, Column]:
@@ -76,6 +82,25 @@ def safe_centre(centre: Column, below: Column, width: Column, height: Column) ->
     return F.when(height <= width, centre).otherwise(F.least(centre, (F.bround(SAFE_BOTTOM * height / SAFE_HEIGHT) - below) / height))
 
 
+def draws(seed: Column, ranges: tuple[tuple[float, float], ...], n: int) -> Column:
+    """For each of ``n`` frames one draw from each range, by Python's generator of that seed: what
+    is drawn is part of the accent's definition, so it can't be the engine's own generator."""
+
+    @F.pandas_udf("array<array<double>>")
+    def run(seeds: pd.Series) -> pd.Series:
+        def frames(k):
+            r = random.Random(int(k))
+            return [[r.uniform(a, b) for a, b in ranges] for _ in range(n)]
+
+        return seeds.map(frames)
+
+    return run(seed)
+
+
+def _seed(at: Column) -> Column:
+    return F.bround(at * 1000).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def _cues(spark, sf_dir):
     """Events as cues: seconds into the month, intensity 0..1."""
     e = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", (seconds() - BEGIN).alias("at"), "value")
@@ -145,7 +170,27 @@ def caption_safe_zone(spark, sf_dir):
     return d.select("event_id", F.round(safe_centre(F.col("c"), F.lit(96), F.lit(WIDTH), F.col("h")), 6).alias("centre"))
 
 
-QUERIES = [camera_shake, grain, zoom_punch, zoom_blur, pixelate, film_burn, phrase_segments, bounce_tags, caption_safe_zone]
+def glitch(spark, sf_dir):
+    """Per frame: red and blue shifts, a vertical tear that changes sides, and how grey it is."""
+    d = _cues(spark, sf_dir).select("event_id", "i", F.posexplode(draws(_seed(F.col("at")), GLITCH_DRAWS, len(GLITCH))).alias("on", "u"))
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("on"))
+    je = pick(GLITCH) * F.get("u", F.lit(0))
+    a, t = 2 + F.bround(14 * F.col("i")), 1 + F.bround(7 * F.col("i"))
+    side = F.when(F.col("on") % 2 == 1, 1).otherwise(-1)
+    grey = F.least(F.lit(1.0), pick(FLICKER) * (0.4 + 0.6 * F.col("i")) * F.get("u", F.lit(1)))
+    whole = lambda c: F.bround(c).cast("long")
+    return d.select("event_id", "on", whole(a * je).alias("red"), whole(-a * je * 0.8).alias("blue"), whole(t * side * F.abs(je)).alias("tear"), F.bround(grey, 3).alias("grey"))
+
+
+def rgb_split(spark, sf_dir):
+    """Per frame: how far red and blue tear apart, and snap back."""
+    d = _cues(spark, sf_dir).select("event_id", "i", F.posexplode(draws(_seed(F.col("at")), SPLIT_DRAWS, len(SPLIT))).alias("on", "u"))
+    far = (3 + F.bround(18 * F.col("i"))) * F.get(F.array(*map(F.lit, SPLIT)), F.col("on")) * F.get("u", F.lit(0))
+    whole = lambda c: F.bround(c).cast("long")
+    return d.select("event_id", "on", whole(far).alias("red"), whole(-far).alias("blue"), whole(far * 0.35).alias("down"))
+
+
+QUERIES = [camera_shake, glitch, rgb_split, grain, zoom_punch, zoom_blur, pixelate, film_burn, phrase_segments, bounce_tags, caption_safe_zone]
 
 _C = f"""e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1000000.0::DOUBLE - {BEGIN}::DOUBLE AS t0 FROM events),
 c AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 100)) AS i FROM e)"""

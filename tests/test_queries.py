@@ -172,6 +172,28 @@ def test_scalars(spark):
     assert (r.h, r.l, r.j) == ("aaa\n... 6 chars omitted ...\nbbb", "{2}", "")
 
 
+def test_seeded_accents_draw_what_python_draws(spark):
+    import random
+
+    from quillspark.operators import accents
+
+    cues = {r.event_id: r for r in accents._cues(spark, SF).collect()}
+    glitch = {(r.event_id, r.on): r for r in accents.glitch(spark, SF).collect()}
+    split = {(r.event_id, r.on): r for r in accents.rgb_split(spark, SF).collect()}
+    assert len(glitch) == 7 * len(cues) and len(split) == 5 * len(cues)
+    for k in list(cues)[:200]:
+        c = cues[k]
+        rng, a = random.Random(int(round(c["at"] * 1000)) & 0xFFFFFFFF), 2 + round(14 * c.i)
+        for on, e in enumerate(accents.GLITCH):
+            je, grey = e * rng.uniform(0.72, 1.28), rng.uniform(0.8, 1.2)
+            g = glitch[k, on]
+            assert (g.red, g.blue) == (round(a * je), round(-a * je * 0.8)) and abs(g.tear) == round((1 + round(7 * c.i)) * abs(je)) and (g.tear <= 0) == (on % 2 == 0 or g.tear == 0)
+            assert g.grey == pytest.approx(min(1.0, accents.FLICKER[on] * (0.4 + 0.6 * c.i) * grey), abs=1e-3)
+        rng = random.Random(int(round(c["at"] * 1000)) & 0xFFFFFFFF)
+        for on, e in enumerate(accents.SPLIT):
+            assert split[k, on].red == round((3 + round(18 * c.i)) * e * rng.uniform(0.82, 1.18))
+
+
 def test_handlers_by_name(spark):
     from quillspark.functions import registry
 
