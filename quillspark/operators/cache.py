@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_json
+from ..plans.running import running
 from ..sources.tables import load
 from .sequential import keep_in_order
 
 
-def prune(slots: DataFrame, cap: Column, order: list, size: str, pinned: str | None = None, group: str | None = None) -> DataFrame:
+def prune(slots: DataFrame, cap: Column, order: list, size: str, pinned: str | None = None, group: str | None = None, cell: Column | None = None) -> DataFrame:
     """Rows to evict, oldest first, until the rest fits ``cap``; pinned rows count but stay.
 
     A row goes if what is left once all older evictable rows are gone is still too
-    much. Totals are per ``group``; without one the whole inventory is one
-    run, which a box's cache is small enough for.
+    much. Totals are per ``group``, over the whole inventory without one. ``cell``, a range of
+    the first order column, divides a group of very many slots among tasks.
     """
-    own = F.lit(0) if group is None else F.col(group)
-    w = Window.partitionBy(own)
+    key = F.lit(0) if group is None else F.col(group)
     free = F.col(size) if pinned is None else F.when(F.col(pinned), 0).otherwise(F.col(size))
-    d = slots.withColumn("total", F.sum(size).over(w)).withColumn("before", F.sum(free).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - free)
-    gone = F.col("total") - F.col("before") > cap
-    return d.where(gone if pinned is None else gone & ~F.col(pinned)).drop("total", "before")
+    all_sizes = slots.groupBy(key.alias("_of")).agg(F.sum(size).alias("_all"))
+    d = running(slots, key, order, F.lit(0) if cell is None else cell, free, "_free").join(all_sizes, key.eqNullSafe(F.col("_of")))
+    gone = F.col("_all") - (F.col("_free") - free) > cap
+    return d.where(gone if pinned is None else gone & ~F.col(pinned)).drop("_of", "_all", "_free")
 
 
 def _slots(spark, sf_dir):
@@ -30,11 +31,11 @@ def _slots(spark, sf_dir):
 
 
 def cache_prune(spark, sf_dir):
-    return prune(_slots(spark, sf_dir), F.lit(50_000), ["doc_id"], "bytes", group="source").select("doc_id", "source", "bytes")
+    return prune(_slots(spark, sf_dir), F.lit(50_000), ["doc_id"], "bytes", group="source", cell=F.floor(F.col("doc_id") / 10_000)).select("doc_id", "source", "bytes")
 
 
 def cache_prune_pinned(spark, sf_dir):
-    return prune(_slots(spark, sf_dir), F.lit(60_000), ["doc_id"], "bytes", "pinned", "source").select("doc_id", "source", "bytes")
+    return prune(_slots(spark, sf_dir), F.lit(60_000), ["doc_id"], "bytes", "pinned", "source", F.floor(F.col("doc_id") / 10_000)).select("doc_id", "source", "bytes")
 
 
 def retained(slots: DataFrame, room: int, order: list[str], size: str, group: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_caption, timecode
 from ..plans.rounds import shared_folder
+from ..plans.running import running
 from ..sources.tables import load, seconds
 from .intervals import BEGIN, running_offsets
 
@@ -26,10 +27,9 @@ def sniffed(content: Column) -> Column:
     return out
 
 
-def within_budget(df: DataFrame, key: str, order: list[str], size: str, cap: int) -> DataFrame:
-    """The rows of a key, in order, whose running size is within ``cap``."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("read", F.sum(size).over(w)).where(F.col("read") <= cap)
+def within_budget(df: DataFrame, key: str, order: list[str], size: str, cap: int, cell: Column) -> DataFrame:
+    """The rows of a key, in order, whose running size is within ``cap``; ``cell`` is a range of the first order column."""
+    return running(df, F.col(key), order, cell, F.col(size), "read").where(F.col("read") <= cap)
 
 
 def lanes(free_mb: Column, threads: Column, override: Column) -> Column:
@@ -87,13 +87,13 @@ def image_tile_cells(spark, sf_dir):
 
 def range_budget(spark, sf_dir):
     """Documents of a source that a byte budget lets read, in order: the receipt."""
-    d = within_budget(load(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", ["doc_id"], "n_chars", 50_000)
+    d = within_budget(load(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", ["doc_id"], "n_chars", 50_000, F.floor(F.col("doc_id") / 10_000))
     return d.groupBy("source").agg(F.count(F.lit(1)).alias("reads"), F.max("read").alias("bytes"))
 
 
 def range_frames(spark, sf_dir):
     """The same for a list: each document that was read, with the bytes read so far."""
-    d = within_budget(load(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "lang", ["doc_id"], "n_chars", 30_000)
+    d = within_budget(load(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "lang", ["doc_id"], "n_chars", 30_000, F.floor(F.col("doc_id") / 10_000))
     return d.select("doc_id", "lang", "read")
 
 

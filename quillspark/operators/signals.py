@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.running import running
 from ..sources.tables import load, seconds
 from .sequential import keep_in_order
 
@@ -136,8 +137,8 @@ def fps_bucket(spark, sf_dir):
 
 def even_samples(spark, sf_dir):
     """Source metadata: sixteen evenly spaced samples of each event type."""
-    w = Window.partitionBy("event_type")
-    d = _samples(spark, sf_dir).withColumn("i", F.row_number().over(w.orderBy("s", "event_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    # ranks within days, and days within a type: a type's rows are dealt over its days
+    d = running(_samples(spark, sf_dir), F.col("event_type"), ["s", "event_id"], F.floor(F.col("s") / 86_400), F.lit(1), "i", "n").withColumn("i", F.col("i") - 1)
     pick = d.where(F.floor(F.col("i") * 16 / F.col("n")) > F.floor((F.col("i") - 1) * 16 / F.col("n")))
     return pick.groupBy("event_type").agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg("value"), 4).alias("mean"), F.max("n").alias("n"))
 

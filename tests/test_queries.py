@@ -65,6 +65,16 @@ def test_prune_spares_the_pinned(spark):
     assert [r.id for r in prune(d, F.lit(10), ["id"], "size", "pin").orderBy("id").collect()] == [1, 3]
 
 
+def test_running_sums_in_two_levels(spark):
+    from quillspark.plans.running import running
+
+    rows = [("a" if i % 3 else None, i, i * 7 % 11) for i in range(200)]
+    got = {r.i: (r.up, r.every) for r in running(spark.createDataFrame(rows, "k string, i int, v int"), F.col("k"), ["i"], F.floor(F.col("i") / 9), F.col("v"), "up", "every").collect()}
+    for k in ("a", None):
+        own = [(i, v) for g, i, v in rows if g == k]
+        assert all(got[i] == (sum(v for j, v in own if j <= i), sum(v for _, v in own)) for i, _ in own)
+
+
 def test_refractory_counts_from_the_last_accepted(spark):
     d = spark.createDataFrame([("a", 0.0), ("a", 3.0), ("a", 5.0), ("a", 9.0)], "k string, t double")
     assert sorted(r.t for r in refractory(d, "k", "t", 4.0).collect()) == [0.0, 5.0, 9.0]
