@@ -167,8 +167,8 @@ SELECT l_orderkey, arg_min(why, ((why <> 'unknown op')::INT, l_linenumber, why))
 w AS (SELECT event_id, least(CASE WHEN event_type = 'error' THEN 'unexpected: x' END, CASE WHEN k IS NULL THEN 'k is required' END, CASE WHEN k > 80 THEN k || ' is over the maximum of 80' END) AS error FROM p) SELECT event_id, error FROM w WHERE error IS NOT NULL""",
     "input_binding": """WITH m AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS o FROM lineitem GROUP BY 1), d AS (SELECT o_orderkey, o, CASE WHEN o_orderpriority = '1-URGENT' THEN 'R' END AS named, CASE o_orderstatus WHEN 'O' THEN 'N' WHEN 'F' THEN 'A' ELSE 'src' END AS wanted FROM orders JOIN m ON o_orderkey = l_orderkey)
 SELECT o_orderkey, CASE WHEN list_contains(o, coalesce(named, wanted)) THEN coalesce(named, wanted) WHEN named IS NULL AND len(o) = 1 THEN o[1] END AS reads FROM d""",
-    "list_outputs": """SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, (row_number() OVER w - 1)::INT AS place, lpad((row_number() OVER w - 1)::VARCHAR, 4, '0') || CASE WHEN page_id % 2 = 0 AND NOT url SIMILAR TO '.*[?#].*' THEN '.png'
-WHEN regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\\.[A-Za-z0-9]{1,5})$', 1) = '' THEN '.bin' ELSE regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\\.[A-Za-z0-9]{1,5})$', 1) END AS file FROM pages WINDOW w AS (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY page_id)""".replace("\\\\", "\\"),
+    "list_outputs": r"""SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, (row_number() OVER w - 1)::INT AS place, lpad((row_number() OVER w - 1)::VARCHAR, 4, '0') || CASE WHEN page_id % 2 = 0 AND NOT url SIMILAR TO '.*[?#].*' THEN '.png'
+WHEN regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\.[A-Za-z0-9]{1,5})$', 1) = '' THEN '.bin' ELSE regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\.[A-Za-z0-9]{1,5})$', 1) END AS file FROM pages WINDOW w AS (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY page_id)""",
     "semantic_ids": """SELECT DISTINCT l_orderkey, l_linenumber, sha256('["' || l_orderkey || '","' || l_returnflag || '","output",' || l_linenumber || ']') AS id FROM lineitem""",
     "retained_elsewhere": "SELECT CASE WHEN l_returnflag <> 'R' THEN 'not retained' WHEN l_suppkey % 4 <> 0 THEN 'retained on another worker' WHEN l_tax > 0.06 THEN 'no longer held' ELSE 'here' END AS verdict, count(*) AS n FROM lineitem GROUP BY 1",
     "placement": """SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'decides' WHEN p_size % 35 = 0 THEN 'needs keys,llm' WHEN p_size % 5 = 0 THEN 'needs keys' WHEN p_size % 7 = 0 THEN 'needs llm' END AS why FROM part WHERE p_type = 'PROMO' OR p_size % 5 = 0 OR p_size % 7 = 0""",

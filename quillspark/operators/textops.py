@@ -93,6 +93,9 @@ QUERIES = [
 ]
 
 ORACLES = {
+    "caption_wrap": r"""WITH w AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations),
+l AS (SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN [] ELSE string_split(list_reduce(w, lambda a, x: a || CASE WHEN length(regexp_extract(a, '[^\x01]*$')) + 1 + length(x) <= 32 THEN ' ' ELSE chr(1) END || x), chr(1)) END AS l FROM w)
+SELECT conv_id, turn, len(l)::INT AS n_lines, list_max(list_transform(l, lambda x: length(x)))::INT AS longest, l[1] AS first FROM l""".replace("\\", "\\"[:1]),
     "object_keys": """WITH a AS (SELECT unnest([url, regexp_replace(url, '[?#].*$', '') || '?sig=1']) AS url FROM pages), k AS (SELECT regexp_extract(url, '^https?://([^?#]*)', 1) AS key, count(*) AS addresses FROM a GROUP BY 1)
 SELECT key, sha256(key)[1:32] AS slot, addresses FROM k""",
     "redact_text": r"""SELECT page_id, substring('Bearer [REDACTED] ' || regexp_replace(regexp_replace(url, '^https?://[^ "<>]+', '[redacted-url]'), '.*', '[redacted-url]') || ' token=[REDACTED] end', 1, 500) AS safe FROM pages""",
