@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,15 +186,35 @@ def kenburns_frames(spark, sf_dir):
     return p.select("p_partkey", "on", F.round(1 + 0.12 * u, 6).alias("z"), F.round(0.5 - 0.08 * u, 6).alias("x"))
 
 
+# Damping, mass and stiffness of the spring; when it lets go before the end, and the most that it overshoots.
+DAMPING, MASS, STIFFNESS, RELEASE, OVERSHOOT = 15.0, 0.9, 140.0, 0.4, 1.2
+DECAY = DAMPING / (2 * MASS)
+SWING = math.sqrt(STIFFNESS / MASS) * math.sqrt(1 - (DAMPING / (2 * math.sqrt(STIFFNESS * MASS))) ** 2)
+
+
+def sprung(t: Column, at: Column) -> Column:
+    """Progress of an underdamped spring let go at ``at``; 0 before."""
+    x = F.greatest(t - at, F.lit(0.0))
+    return F.when(t >= at, 1 - F.exp(-DECAY * x) * (F.cos(SWING * x) + DECAY / SWING * F.sin(SWING * x))).otherwise(F.lit(0.0))
+
+
 def spring_settle(spark, sf_dir):
-    e = _spans(spark, sf_dir, 0.0).withColumn("t", F.pmod(F.col("s"), F.lit(2.0)))
-    y = 1 - F.exp(-6 * F.col("t")) * (F.cos(9 * F.col("t")) + F.sin(9 * F.col("t")) * 2 / 3)
-    return e.select("event_id", F.round(F.greatest(F.lit(0.0), F.least(y, F.lit(1.2))), 5).alias("y"))
+    """A head that springs down at the start of its beat (two seconds) and up again before its end, at eight times."""
+    e = _spans(spark, sf_dir, 2.0).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("t", F.col("k") * 0.3)
+    y = sprung(F.col("t"), F.lit(0.0)) - sprung(F.col("t"), F.lit(2.0 - RELEASE))
+    return e.select("event_id", "k", F.round(F.greatest(F.lit(0.0), F.least(y, F.lit(OVERSHOOT))), 5).alias("y"))
+
+
+def shot_frames(spark, sf_dir):
+    """Frames of each order's shot, from one rounded end to the other, every fifth."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 10_000).alias("a"))
+    first, last = F.bround(F.col("a") * 25).cast("long"), F.bround((F.col("a") + 1.3) * 25).cast("long")
+    return o.select("o_orderkey", F.explode(F.sequence(first, last - 1, F.lit(5).cast("long"))).alias("frame"))
 
 
 QUERIES = [
     timeline_remap, timeline_length, keep_frames, span_complement, span_merge, keyframe_lerp, keyframe_ease, atempo_chain, caption_blocks, caption_hold,
-    caption_highlight, overlay_concurrency, overlay_topmost, kenburns_frames, spring_settle,
+    caption_highlight, overlay_concurrency, overlay_topmost, kenburns_frames, spring_settle, shot_frames,
 ]
 
 _E = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1000000.0::DOUBLE AS s FROM events)"
@@ -227,6 +249,8 @@ SELECT user_id, max(live) AS peak FROM r GROUP BY 1""",
     "overlay_topmost": f"WITH {_E} SELECT a.event_id, max(o.event_id) AS top, count(*) AS layers FROM e a JOIN e o ON a.user_id = o.user_id AND a.s >= o.s AND a.s < o.s + 7200.0::DOUBLE GROUP BY 1",
     "kenburns_frames": """WITH p AS (SELECT p_partkey, p_size, unnest(range(0, p_size))::INT AS "on" FROM part), u AS (SELECT *, CASE WHEN p_size > 1 THEN "on"::DOUBLE / (p_size - 1) ELSE 0 END AS u FROM p)
 SELECT p_partkey, "on", round(1 + 0.12::DOUBLE * u, 6) AS z, round(0.5::DOUBLE - 0.08::DOUBLE * u, 6) AS x FROM u""",
-    "spring_settle": f"""WITH {_E}, q AS (SELECT event_id, s - floor(s / 2.0::DOUBLE) * 2.0::DOUBLE AS t FROM e)
-SELECT event_id, round(greatest(0.0::DOUBLE, least(1 - exp(-6 * t) * (cos(9 * t) + sin(9 * t) * 2 / 3), 1.2::DOUBLE)), 5) AS y FROM q""",
+    "spring_settle": f"""WITH q AS (SELECT event_id, unnest(range(0, 8))::INT AS k FROM events), t AS (SELECT event_id, k, k * 0.3::DOUBLE AS t, k * 0.3::DOUBLE - {2.0 - RELEASE}::DOUBLE AS u FROM q),
+y AS (SELECT *, 1 - exp(-{DECAY}::DOUBLE * t) * (cos({SWING}::DOUBLE * t) + {DECAY / SWING}::DOUBLE * sin({SWING}::DOUBLE * t)) AS a, CASE WHEN u >= 0 THEN 1 - exp(-{DECAY}::DOUBLE * u) * (cos({SWING}::DOUBLE * u) + {DECAY / SWING}::DOUBLE * sin({SWING}::DOUBLE * u)) ELSE 0 END AS b FROM t)
+SELECT event_id, k, round(greatest(0.0::DOUBLE, least(a - b, 1.2::DOUBLE)), 5) AS y FROM y""",
+    "shot_frames": "SELECT o_orderkey, unnest(range(round_even(o_totalprice / 10000 * 25, 0)::BIGINT, round_even((o_totalprice / 10000 + 1.3::DOUBLE) * 25, 0)::BIGINT, 5)) AS frame FROM orders",
 }

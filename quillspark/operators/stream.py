@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import load, micros
@@ -76,11 +76,17 @@ def strict_ack(spark, sf_dir):
     return acks.join(d.select(F.col("event_id").alias("seq")), "seq", "left_anti")
 
 
+def delivery_outcomes(df: DataFrame, delivery: list[str], attempt: str, content: Column) -> DataFrame:
+    """(delivery ..., frames, outcome) of each delivery: new, a replay of the same content in the same attempt, or a conflict."""
+    g = df.groupBy(*delivery).agg(F.count(F.lit(1)).alias("frames"), F.count_distinct(content).alias("_c"), F.count_distinct(attempt).alias("_a"))
+    outcome = F.when((F.col("_c") > 1) | (F.col("_a") > 1), "conflict").when(F.col("frames") > 1, "replay").otherwise("new")
+    return g.select(*delivery, "frames", outcome.alias("outcome"))
+
+
 def delivery_dedupe(spark, sf_dir):
-    """Deliveries (same content by digest) seen again: replay or conflict by their source."""
-    d = load(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content"), "source")
-    g = d.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"))
-    return g.select(F.when(F.col("n") == 1, "new").when(F.col("sources") == 1, "replay").otherwise("conflict").alias("outcome"), "n").groupBy("outcome").agg(F.count(F.lit(1)).alias("deliveries"), F.sum("n").alias("frames"))
+    """Lines as deliveries of an order's number; its attempt is the flag, its content the part."""
+    l = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_partkey") % 3).alias("part"))  # noqa: E741
+    return delivery_outcomes(l, ["l_orderkey", "l_linenumber"], "l_returnflag", F.sha2(F.col("part").cast("string"), 256))
 
 
 def result_once(spark, sf_dir):
@@ -154,8 +160,7 @@ ORACLES = {
     "retry_suffix": f"WITH {_F} SELECT user_id, min(event_id) AS head, count(*) AS pending FROM v WHERE verdict = 'retry' GROUP BY 1",
     "in_flight": f"WITH {_F}, i AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM v) SELECT (i // 32)::BIGINT AS flight, count(*) AS n FROM i GROUP BY 1",
     "strict_ack": "SELECT -event_id - 1 AS seq FROM events WHERE event_type = 'purchase'",
-    "delivery_dedupe": """WITH g AS (SELECT sha256(text) AS c, count(*) AS n, count(DISTINCT source) AS s FROM documents GROUP BY 1)
-SELECT CASE WHEN n = 1 THEN 'new' WHEN s = 1 THEN 'replay' ELSE 'conflict' END AS outcome, count(*) AS deliveries, sum(n)::BIGINT AS frames FROM g GROUP BY 1""",
+    "delivery_dedupe": "SELECT l_orderkey, l_linenumber, count(*) AS frames, CASE WHEN count(DISTINCT l_partkey % 3) > 1 OR count(DISTINCT l_returnflag) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'replay' ELSE 'new' END AS outcome FROM lineitem GROUP BY 1, 2",
     "result_once": "SELECT user_id, event_type, arg_min(event_id, epoch_us(ts)) AS kept, count(*) - 1 AS repeats FROM events GROUP BY 1, 2",
     "clock_bounds": f"""WITH {_F}, r AS (SELECT *, event_id * 7919 % 1000 AS j, row_number() OVER (PARTITION BY user_id ORDER BY us DESC) AS rn FROM f)
 SELECT user_id, max((us + 6000 + j) - (us + 9000 + 2 * j)) AS theta_min, min((us + 5000 + j) - us) AS theta_max, count(*) AS n FROM r WHERE rn <= 64 GROUP BY 1""",

@@ -7,7 +7,7 @@ rows, so they can be compared with the batch forms.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.rounds import shared_folder
@@ -118,9 +118,35 @@ def stream_latch(spark, sf_dir, files: int | None = None):
     return drained(latched(e, "user_id", "event_id", "signal"))
 
 
-QUERIES = [stream_dedup, stream_tumbling, stream_sessions, stream_settle, stream_latch]
+def split_sinks(df: DataFrame, sinks: dict[str, Column]) -> dict[str, DataFrame]:
+    """Each batch's rows to one table per condition, written under the batch's number, so that a
+    batch that runs again replaces what it wrote before."""
+    spark, at = df.sparkSession, shared_folder(df.sparkSession, "sinks")
+
+    def write(batch: DataFrame, n: int) -> None:
+        for name, rule in sinks.items():
+            batch.where(rule).write.mode("overwrite").parquet(f"{at}/{name}/batch={n}")
+
+    df.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(write).start().awaitTermination()
+    return {name: spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{at}/{name}") for name in sinks}
+
+
+def stream_sinks(spark, sf_dir, files: int | None = None):
+    """Acknowledged frames go, refused ones to the dead letters, the others stay pending."""
+    t = F.col("event_type")
+    e = event_stream(spark, sf_dir, files=files).select("event_id", "event_type")
+    found = split_sinks(e, {"retired": t.isin("click", "view"), "dead": t == "purchase", "pending": ~t.isin("click", "view", "purchase")})
+    out = None
+    for name, df in found.items():
+        one = df.select("event_id", F.lit(name).alias("sink"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = [stream_sinks, stream_dedup, stream_tumbling, stream_sessions, stream_settle, stream_latch]
 
 ORACLES = {
+    "stream_sinks": "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'retired' WHEN event_type = 'purchase' THEN 'dead' ELSE 'pending' END AS sink FROM events",
     "stream_dedup": "SELECT event_id, user_id FROM events",
     "stream_tumbling": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour, event_type, count(*) AS n, round(sum(value), 3) AS v FROM events GROUP BY 1, 2",
     "stream_sessions": """WITH l AS (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), i AS (SELECT user_id, us, sum((p IS NULL OR us - p > 1800000000)::INT) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM l)
