@@ -59,11 +59,13 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Characters under a secret's span become ``[SECRET]``; n_chars, if there, follows. Null texts stay null. Rows are judged each."""
     found = scan_secrets(docs, carry=tuple(docs.columns))
     spans = F.concat("base", "more")
-    out = found.select("row.*", (F.size(spans) > 0).alias("_hit"), redact(F.col("row.text"), spans).alias("_clean"))
+    own = lambda c: F.col("_own").getField(c)
+    out = found.select(F.col("row").alias("_own"), spans.alias("_spans")).withColumn("_clean", redact(own("text"), F.col("_spans")))
     new = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_hit"), F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+        hit = F.size("_spans") > 0
+        new["n_chars"] = F.when(hit, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(own("n_chars"))
+    return out.select(*(new.get(c, own(c)).alias(c) for c in docs.columns))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
