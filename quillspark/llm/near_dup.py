@@ -184,15 +184,17 @@ def _verified(percent: int):
         for batch in batches:
             good.clear()
             pairs: dict = {}
-            columns = [batch.column(k).to_pylist() for k in ("cell", "a", "b", "text")]
-            for at, a, b, text in zip(*columns):
-                if at != cell:
-                    links(pairs)
-                    pairs, sets, cell = {}, {}, at
-                if text is not None:
-                    (sets[a],) = shingle_sets([text.encode()], words)
-                else:
-                    pairs.setdefault(a, []).append(b)
+            for x in range(0, batch.num_rows, 256):
+                part = batch.slice(x, 256)
+                columns = [part.column(k).to_pylist() for k in ("cell", "a", "b", "text")]
+                for at, a, b, text in zip(*columns):
+                    if at != cell:
+                        links(pairs)
+                        pairs, sets, cell = {}, {}, at
+                    if text is not None:
+                        (sets[a],) = shingle_sets([text.encode()], words)
+                    else:
+                        pairs.setdefault(a, []).append(b)
             links(pairs)
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.binary()), pa.array([g[1] for g in good], pa.binary())], ["a", "b"])
 
@@ -209,7 +211,7 @@ def near_duplicates(
     tiny: int = 32,
     short: int = 900,
     short_floor: float = 0.65,
-    cell_pairs: int = 10_000,
+    cell_shingles: int = 2_000_000,
     row: str | None = None,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
@@ -248,9 +250,12 @@ def near_duplicates(
     side = lambda x: classes.select(F.col("digest").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links. Their number follows from the estimate; texts come only for them."""
-        pairs = cut(pairs.select("a", "b"), "pairs")
-        n = max(1, math.ceil(math.sqrt(pairs.count() / cell_pairs)))
+        """The pairs (a, b) that are links. Their number follows from the estimate; texts come only for them.
+
+        size is the pair's number of shingles, so a cell's sets have ``cell_shingles`` or so at most.
+        """
+        pairs = cut(pairs.select("a", "b", "size"), "pairs")
+        n = max(1, math.ceil(math.sqrt((pairs.agg(F.sum("size")).first()[0] or 0) / cell_shingles)))
         part = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
         placed = pairs.select((part("a") * n + part("b")).alias("cell"), "a", "b")
         need = placed.select("cell", F.col("a").alias("digest")).unionByName(placed.select("cell", F.col("b").alias("digest"))).distinct()
@@ -265,8 +270,8 @@ def near_duplicates(
 
     stars = members.where(F.col("digest") != F.col("least")).select(F.col("digest").alias("a"), F.col("least").alias("b")).distinct()
     stars = stars.join(side("a"), "a").join(side("b"), "b").where(sized).withColumn("j", estimated("bitsa", "bitsb", longs)).where(F.col("j") >= floor)
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("j", "b")).alias("b"))
-    links = verify(best)
+    best = stars.groupBy("a").agg(F.max_by(F.struct("b", (F.col("na") + F.col("nb")).alias("size")), F.struct("j", "b")).alias("to"))
+    links = verify(best.select("a", "to.b", "to.size"))
     parts = [links]
     comp = components(links)
 
@@ -287,7 +292,7 @@ def near_duplicates(
         apart = (F.col("ca") < F.col("cb")) | (F.col("cb") == F.col("bigb"))
         across = both.where(apart & sized & enough & (F.col("j") < last) & (meet == F.col("key")))
         # a pair whose sides trade places from one band to the next still leaves once
-        more = verify(across.select(F.least("digesta", "digestb").alias("a"), F.greatest("digesta", "digestb").alias("b")))
+        more = verify(across.select(F.least("digesta", "digestb").alias("a"), F.greatest("digesta", "digestb").alias("b"), (F.col("na") + F.col("nb")).alias("size")))
         discard(placed, split, left)
         if more.isEmpty():
             continue
