@@ -23,7 +23,7 @@
    estimate. Few values fill all registers of short texts, and chance agreement
    strays: up to ``short`` shingles the last pass has a lower floor, up to ``tiny``
    none. Pairs within a component cannot change the result and are not verified.
-5. Verification deals pairs into cells by the hashes of both sides. A cell gets the
+5. Verification deals pairs into cells by the hash of one or both sides. A cell gets the
    text of each of its classes once, however many pairs it is in, so a family of N
    texts just under the threshold, whose pairs all have to be verified, moves
    about N times the square root of the number of cells, not two texts a pair.
@@ -253,11 +253,15 @@ def near_duplicates(
         """The pairs (a, b) that are links. Their number follows from the estimate; texts come only for them.
 
         size is the pair's number of shingles, so a cell's sets have ``cell_shingles`` or so at most.
+        Few pairs a class are dealt by one side, so that most texts travel once; many by both.
         """
         pairs = cut(pairs.select("a", "b", "size"), "pairs")
-        n = max(1, math.ceil(math.sqrt((pairs.agg(F.sum("size")).first()[0] or 0) / cell_shingles)))
-        part = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
-        placed = pairs.select((part("a") * n + part("b")).alias("cell"), "a", "b")
+        count, total, firsts, seconds = pairs.agg(F.count(F.lit(1)), F.sum("size"), F.approx_count_distinct("a"), F.approx_count_distinct("b")).first()
+        cells = max(1, math.ceil((total or 0) / cell_shingles))
+        n = math.ceil(math.sqrt(cells))
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+        cell = part("a", cells) if firsts + count <= (firsts + seconds) * n else part("a", n) * n + part("b", n)
+        placed = pairs.select(cell.alias("cell"), "a", "b")
         need = placed.select("cell", F.col("a").alias("digest")).unionByName(placed.select("cell", F.col("b").alias("digest"))).distinct()
         # written, so that both sides of the join are plain shuffles
         need = cut(need, "need")
