@@ -244,7 +244,8 @@ def near_duplicates(
     discard(shared)
     # the text of one row of each class that shares a bucket
     asked = cut(members.select("digest").distinct().join(classes.select("digest", "rep"), "digest").select("digest", F.col("rep.doc_id").alias("d"), F.col("rep.row").alias("r")), "asked")
-    found = own.join(asked, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    # the sides of these joins grow with the input; a broadcast at small sizes would only hide that
+    found = own.join(asked.hint("merge"), (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
     whole = cut(found.groupBy("digest").agg(F.first("text").alias("text")), "texts")
     sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     side = lambda x: classes.select(F.col("digest").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
@@ -265,7 +266,7 @@ def near_duplicates(
         need = placed.select("cell", F.col("a").alias("digest")).unionByName(placed.select("cell", F.col("b").alias("digest"))).distinct()
         # written, so that both sides of the join are plain shuffles
         need = cut(need, "need")
-        sent = need.join(whole, "digest").select("cell", F.col("digest").alias("a"), F.lit(None).cast("binary").alias("b"), "text")
+        sent = need.hint("merge").join(whole, "digest").select("cell", F.col("digest").alias("a"), F.lit(None).cast("binary").alias("b"), "text")
         sent = sent.unionByName(placed.withColumn("text", F.lit(None).cast("string")))
         sent = sent.repartition("cell").sortWithinPartitions("cell", F.col("text").isNull())
         links = cut(sent.mapInArrow(_verified(percent), "a binary, b binary"), "verified")
