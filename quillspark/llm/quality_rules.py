@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import cut, discard, texts
 
 _WS = r"[\x20\x09-\x0D]+"
 _TRIM = " \t\n\x0b\x0c\r"
@@ -189,7 +189,8 @@ def _fit(rows: DataFrame, key: str, steps: int, more: int, share: float, accurac
     rows = rows.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)))
     at = cut(_starts(rows, key, accuracy), "mcd")
     for _ in range(steps):
-        at = cut(_concentrated(rows, at, key, share, accuracy), "mcd")
+        before, at = at, cut(_concentrated(rows, at, key, share, accuracy), "mcd")
+        discard(before)
     det = at
     for n, c in _cholesky(p, list(FEATURES))[0]:
         det = det.withColumn(n, c)
@@ -199,7 +200,8 @@ def _fit(rows: DataFrame, key: str, steps: int, more: int, share: float, accurac
     best = det.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct("log_det", "start")).alias("x"))
     at = cut(best.select(key, "x.*"), "mcd")
     for _ in range(more):
-        at = cut(_concentrated(rows, at, key, share, accuracy), "mcd")
+        before, at = at, cut(_concentrated(rows, at, key, share, accuracy), "mcd")
+        discard(before)
     return at
 
 
