@@ -51,7 +51,7 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read(spark, sf_dir, "documents")).withColumn("repeats", F.col("n_removed") > 0)
+    return remove_repeats(read(spark, sf_dir, "documents")).withColumn("repeats", (F.col("n_removed") > 0) | F.col("shares_passage"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

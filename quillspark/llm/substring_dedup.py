@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import cut, discard, mix64, odd_multipliers, ranges, slices, texts
 
 GRAM, SEED = 128, 20_240_307
+#: Shared stretches of more words are reported, however few bytes they have.
+WORDS = 50
 RANGES = "array<struct<start:int,n:int>>"
 
 
@@ -188,17 +190,32 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, begin: np.ndarray, size: n
     return out
 
 
-def shard_repeats(texts_: list[bytes], counts: np.ndarray, copies: np.ndarray, where: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(repeated, class, starts) over all string starts of the contexts, in order.
+def shared_passages(data: np.ndarray, sa: np.ndarray, lcp: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, words: int) -> np.ndarray:
+    """Whether each context has a common stretch of over ``words`` words with a neighbour in the suffix array of another document."""
+    near = np.flatnonzero(lcp >= 2 * words)
+    near = near[near > 0]
+    a, b = sa[near - 1], sa[near]
+    of_a, of_b = np.searchsorted(begin, a, "right") - 1, np.searchsorted(begin, b, "right") - 1
+    n = np.minimum(lcp[near], np.minimum(begin[of_a] + size[of_a] - a, begin[of_b] + size[of_b] - b))
+    blank = np.concatenate([[0], np.cumsum((data == 32) | (data - np.uint8(9) < 5))])
+    ok = (doc[of_a] != doc[of_b]) & (blank[b + n] - blank[b] >= words)
+    out = np.zeros(len(begin), bool)
+    out[of_a[ok]] = out[of_b[ok]] = True
+    return out
+
+
+def shard_repeats(texts_: list[bytes], counts: np.ndarray, copies: np.ndarray, where: np.ndarray, length: int, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(repeated, class, starts) over all string starts of the contexts, in order; and of each context, whether it has a shared passage.
 
     Context i has ``counts[i]`` starts, stands for ``copies[i]`` places, and
-    its first start has the absolute number ``where[i]``.
+    its first start has the absolute number ``where[i]``: its document's number in the upper half.
     """
     size = np.array([len(t) for t in texts_], np.int64)
     data = np.frombuffer(b"".join(texts_), np.uint8)
     begin = np.cumsum(size) - size
     sa = suffix_array(data)
     lcp = common_prefixes(data, sa, begin, size, length)
+    passage = shared_passages(data, sa, lcp, begin, size, where >> 32, words)
     cls_of = np.empty(len(data), np.int64)
     cls_of[sa] = np.cumsum(lcp < length)
     starts = ranges(begin, counts)
@@ -210,7 +227,7 @@ def shard_repeats(texts_: list[bytes], counts: np.ndarray, copies: np.ndarray, w
     np.minimum.at(lo, cls, absolute)
     np.maximum.at(hi, cls, absolute)
     many |= lo < hi
-    return many[cls], cls, starts
+    return many[cls], cls, starts, passage
 
 
 def _runs(flags: np.ndarray) -> list[dict]:
@@ -247,24 +264,25 @@ def _sharded(length: int, most_bytes: int = 1_000_000):
         copies = np.array([r["copies"] for r in rows], np.int64)
         docs = {d: k for k, d in enumerate(dict.fromkeys(r["doc"] for r in rows))}
         where = np.array([docs[r["doc"]] * (1 << 32) + r["start"] for r in rows], np.int64)
-        seen, cls, starts = shard_repeats([r["ctx"] for r in rows], counts, copies, where, length)
+        seen, cls, _, passage = shard_repeats([r["ctx"] for r in rows], counts, copies, where, length)
         ends = np.cumsum(counts)
-        out_h, out_c, out_r, out_d, out_o = [], [], [], [], []
+        out_h, out_c, out_r, out_d, out_o, out_p = [], [], [], [], [], []
         sent: set[int] = set()
         for k, r in enumerate(rows):
             a, b = int(ends[k] - counts[k]), int(ends[k])
-            if runs := _runs(seen[a:b]):
-                out_h.append(r["h"]), out_c.append(r["c"]), out_r.append(runs), out_d.append(None), out_o.append(None)
+            runs = _runs(seen[a:b])
+            if runs or passage[k]:
+                out_h.append(r["h"]), out_c.append(r["c"]), out_r.append(runs), out_d.append(None), out_o.append(None), out_p.append(bool(passage[k]))
             if r["salts"] > 1:  # one digest of each distinct string, for the merge across shards
                 for o in range(b - a):
                     q = int(cls[a + o])
                     if q not in sent:
                         sent.add(q)
-                        out_h.append(r["h"]), out_c.append(r["c"]), out_r.append(None), out_o.append(-1 if seen[a + o] else o)
+                        out_h.append(r["h"]), out_c.append(r["c"]), out_r.append(None), out_o.append(-1 if seen[a + o] else o), out_p.append(None)
                         out_d.append(hashlib.blake2b(r["ctx"][o : o + length], digest_size=16).digest())
         return pa.RecordBatch.from_arrays(
-            [pa.array(out_h, pa.int64()), pa.array(out_c, pa.binary()), pa.array(out_r, pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))), pa.array(out_d, pa.binary()), pa.array(out_o, pa.int32())],
-            ["h", "c", "runs", "d", "o"],
+            [pa.array(out_h, pa.int64()), pa.array(out_c, pa.binary()), pa.array(out_r, pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))), pa.array(out_d, pa.binary()), pa.array(out_o, pa.int32()), pa.array(out_p, pa.bool_())],
+            ["h", "c", "runs", "d", "o", "p"],
         )
 
     def run(batches):
@@ -326,15 +344,15 @@ def _removed(length: int):
                     left.append(rest.decode("utf-8", "replace"))
                     spans.append([{"start": a, "end": z} for a, z in out])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(x, y - x), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(left, pa.string())],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"],
+                    [ids.slice(x, y - x), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(left, pa.string()), b.column(3).slice(x, y - x)],
+                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text", "shares_passage"],
                 )
 
     return run
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, per_shard: int = 2048) -> DataFrame:
-    """For each row of ``docs``: n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges), text (what is left).
+    """For each row of ``docs``: n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges), text (what is left), shares_passage.
 
     Texts are UTF-8 bytes, null as empty. A byte goes if a ``length``-byte
     string over it starts at another place too, in this row or another one;
@@ -342,6 +360,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, per_sha
     doc_id is a key like any other. An empty table gives none. Where a cut splits a
     character, ``text`` has U+FFFD for what is left of it; the digest is of the bytes.
     Extra columns are not read, whatever their names.
+
+    shares_passage is a by-product and removes nothing: the suffix arrays have shown a stretch of
+    over ``WORDS`` words that another row's text has too, though it may be shorter than ``length``
+    bytes. It sees only stretches about anchors that both texts have, so it misses some.
     """
     own = docs.select("doc_id", texts().alias("text"))
     own = own.withColumn("tag", F.md5(F.col("text").cast("binary")))
@@ -360,18 +382,19 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, per_sha
     text = own.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t"))).select("doc_id", "tag", "text", "want")
     shipped = text.mapInArrow(_cut_out(length), "h long, c binary, salt int, salts int, copies long, n int, doc long, start int, ctx binary")
     shards = shipped.repartition("h", "salt").sortWithinPartitions("h", "salt")
-    solved = cut(shards.mapInArrow(_sharded(length), f"h long, c binary, runs {RANGES}, d binary, o int"), "shards")
+    solved = cut(shards.mapInArrow(_sharded(length), f"h long, c binary, runs {RANGES}, d binary, o int, p boolean"), "shards")
     strings = solved.where(F.col("d").isNotNull()).select("h", "c", F.hex("d").alias("hex"), "o")
     strings = strings.repartition("hex").sortWithinPartitions("hex")
     crossed = strings.mapInArrow(_merged, f"h long, c binary, runs {RANGES}")
     whole = ctx.where(F.col("copies") > 1).select("h", "c", F.array(F.struct(F.lit(0).alias("start"), F.col("at.n").alias("n"))).alias("runs"))
     single = ctx.where(F.col("copies") == 1).select("h", "c")
-    part = solved.where(F.col("runs").isNotNull()).select("h", "c", "runs").unionByName(crossed).join(single, ["h", "c"])
-    marks = whole.unionByName(part)
+    no = F.lit(False).alias("p")
+    part = solved.where(F.col("runs").isNotNull()).select("h", "c", "runs", "p").unionByName(crossed.select("*", no)).join(single, ["h", "c"])
+    marks = whole.select("*", no).unionByName(part)
     placed = cand.select("doc_id", "tag", "h", "c", F.col("start").alias("s")).join(marks, ["h", "c"])
     moved = F.transform("runs", lambda r: F.struct((r["start"] + F.col("s")).cast("int").alias("start"), r["n"].alias("n")))
-    by_doc = placed.select("doc_id", "tag", moved.alias("runs")).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    by_doc = cut(by_doc.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "runs"), "marks")
+    by_doc = placed.select("doc_id", "tag", moved.alias("runs"), "p").groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.max("p").alias("p"))
+    by_doc = cut(by_doc.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "runs", "p"), "marks")
     discard(found, twice, cand, ctx, groups, solved)
     out = own.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left")
-    return out.select("doc_id", "text", "runs").mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, text string")
+    return out.select("doc_id", "text", "runs", F.coalesce("p", F.lit(False)).alias("p")).mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, text string, shares_passage boolean")

@@ -583,7 +583,7 @@ def test_repeats(spark, per_shard):
     data = [(i, "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 40))) * rnd.randint(1, 3)) for i in range(40)]
     data += [(98, "a" * 100), (99, None), (100, ""), (101, "ab" * 30), (101, "ab" * 30), (None, "ab" * 20), (102, "\0" * 50), (103, "é" * 40)]
     want = sorted(((str(i), *b) for (i, _), b in zip(data, repeats_brute([(t or "").encode() for _, t in data], 16))))
-    got = substring_dedup.remove_repeats(frame(spark, data), length=16, gram=8, per_shard=per_shard).drop("spans", "text").collect()
+    got = substring_dedup.remove_repeats(frame(spark, data), length=16, gram=8, per_shard=per_shard).drop("spans", "text", "shares_passage").collect()
     assert sorted((str(r[0]), *r[1:]) for r in got) == want
 
 
@@ -606,6 +606,25 @@ def test_repeats_of_400_bytes_and_the_text_that_is_left(spark):
     assert sum(w[1] > 0 for w in want) > 60 and sum(w[1] == 0 for w in want) > 10
 
 
+def test_shared_passages_of_over_50_words_are_reported(spark):
+    rnd = random.Random(25)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 6))) for _ in range(n))
+    data, planted = [], set()
+    for k in range(60):  # 55 words, fewer than 400 bytes
+        passage = text(55)
+        assert len(passage) < 400
+        for i in (2 * k, 2 * k + 1):
+            data.append((i, f"{text(100)} {passage} {text(100)}"))
+            planted.add(i)
+    data += [(500 + k, text(250)) for k in range(60)]
+    short = text(30)  # shared by all, but short
+    data += [(700 + k, f"{text(80)} {short} {text(80)}") for k in range(20)]
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(frame(spark, data)).collect()}
+    assert all(r.n_removed == 0 for r in got.values())
+    assert sum(got[i].shares_passage for i in planted) >= 0.6 * len(planted)
+    assert not any(r.shares_passage for i, r in got.items() if i not in planted)
+
+
 def test_suffix_array_and_prefixes():
     import numpy as np
 
