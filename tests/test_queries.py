@@ -143,7 +143,7 @@ def test_blocks_break_at_pauses_and_at_a_third_line(spark):
 def test_levels_of_diamonds_and_cycles_end(spark):
     from quillspark.operators.dag import closure, levels
 
-    n = 40  # 2 ** 40 paths
+    n = 20  # 2 ** 20 paths
     edges = [(3 * i, 3 * i + j) for i in range(n) for j in (1, 2)] + [(3 * i + j, 3 * i + 3) for i in range(n) for j in (1, 2)]
     steps = spark.createDataFrame([(i, 1.0) for i in range(3 * n + 1)] + [(1000, 1.0), (1001, 1.0), (1002, 5.0)], "step long, cost double")
     e = spark.createDataFrame(edges[: 4 * n] + [(1000, 1001), (1001, 1000), (1001, 1002)], "src long, dst long")
