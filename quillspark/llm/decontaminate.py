@@ -18,6 +18,9 @@ driver whatever the number or length of items. Terms are compared by 64-bit hash
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -130,24 +133,25 @@ def _indexed(run_bytes: int):
         for b in batches:
             ids, raw = b.column(0), b.column(1).cast(pa.binary())
             for x, y in slices(pa.compute.binary_length(raw).to_pylist(), run_bytes):
-                hashes = []
+                hashes, tags = [], []
                 for t in raw.slice(x, y - x).to_pylist():
                     ws = words_of(t)
+                    tags.append(hashlib.md5(t).hexdigest())
                     hashes.append(np.fromiter(map(words.__getitem__, ws), np.uint64, len(ws)))
                 size = np.array([len(h) for h in hashes], np.int64)
                 base = np.cumsum(size + GAP) - size - GAP
                 terms, begins, postings = build_index(np.concatenate(hashes), ranges(base, size))
-                one = (ids.slice(x, y - x).to_pylist(), size, terms.tobytes(), begins.astype(np.int64).tobytes(), postings.astype(np.int64 if base[-1] + size[-1] >> 31 else np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one, (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()))], ["doc_ids", "sizes", "terms", "begins", "postings"])
+                one = (uuid.uuid4().hex, ids.slice(x, y - x).to_pylist(), tags, size, terms.tobytes(), begins.astype(np.int64).tobytes(), postings.astype(np.int64 if base[-1] + size[-1] >> 31 else np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one, (pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()))], ["run", "doc_ids", "tags", "sizes", "terms", "begins", "postings"])
 
     return run
 
 
 def build_postings(docs: DataFrame, run_bytes: int = RUN) -> DataFrame:
-    """The stored index of ``docs``: a row for each run of texts, numbered by ``run``."""
+    """The stored index of ``docs``: a row for each run of texts, with an id of its own."""
     d = docs.select("doc_id", texts().alias("text"))
-    index = cut(d.mapInArrow(_indexed(run_bytes), "doc_ids array<bigint>, sizes array<bigint>, terms binary, begins binary, postings binary"), "postings")
-    return index.select(F.monotonically_increasing_id().alias("run"), "*")
+    index = cut(d.mapInArrow(_indexed(run_bytes), "run string, doc_ids array<bigint>, tags array<string>, sizes array<bigint>, terms binary, begins binary, postings binary"), "postings")
+    return index
 
 
 def _spans(pairs) -> list[dict]:
@@ -162,9 +166,9 @@ def _spans(pairs) -> list[dict]:
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), SPANS, pa.int64(), pa.list_(pa.int64()))
-NAMES = ("run", "place", "doc_id", "n_words", "n_hit", "items", "spans", "n_near", "near_items")
-SCHEMA = "run long, place int, doc_id long, n_words long, n_hit long, items array<bigint>, spans array<struct<start:bigint,end:bigint>>, n_near long, near_items array<bigint>"
+KINDS = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), SPANS, pa.int64(), pa.list_(pa.int64()))
+NAMES = ("run", "place", "doc_id", "tag", "n_words", "n_hit", "items", "spans", "n_near", "near_items")
+SCHEMA = "run string, place int, doc_id long, tag string, n_words long, n_hit long, items array<bigint>, spans array<struct<start:bigint,end:bigint>>, n_near long, near_items array<bigint>"
 
 
 def _matched(test: TestSet, slack: int, all_rows: bool):
@@ -175,7 +179,7 @@ def _matched(test: TestSet, slack: int, all_rows: bool):
         at = np.flatnonzero(np.append(True, doc[order][1:] != doc[order][:-1])) if len(doc) else np.zeros(0, np.int64)
         return {int(doc[order[a]]): order[a:z] for a, z in zip(at, np.append(at[1:], len(doc)))}
 
-    def of_run(run, ids, sizes, terms, begins, postings):
+    def of_run(run, ids, tags, sizes, terms, begins, postings):
         sizes = np.array(sizes, np.int64)
         base = np.cumsum(sizes + GAP) - sizes - GAP
         end = int(base[-1] + sizes[-1])
@@ -190,19 +194,19 @@ def _matched(test: TestSet, slack: int, all_rows: bool):
             both = np.setdiff1d(d2 * len(test.windows) + w2, doc * len(test.windows) + win)
             d2, w2 = both // len(test.windows), both % len(test.windows)
             near = by_doc(d2)
-        for k, (doc_id, n) in enumerate(zip(ids, sizes.tolist())):
+        for k, (doc_id, tag, n) in enumerate(zip(ids, tags, sizes.tolist())):
             if not (all_rows or k in exact or k in near):
                 continue
             e, m = exact.get(k), near.get(k)
             at = sorted(set(zip((start[e] - base[k]).tolist(), (start[e] - base[k] + test.lengths[win[e]]).tolist()))) if e is not None else []
             spans = _spans(at)
             items = test.items(np.unique(win[e])) if e is not None else []
-            yield run, k, doc_id, n, sum(s["end"] - s["start"] for s in spans), items, spans, len(m) if m is not None else 0, test.items(w2[m]) if m is not None else []
+            yield run, k, doc_id, tag, n, sum(s["end"] - s["start"] for s in spans), items, spans, len(m) if m is not None else 0, test.items(w2[m]) if m is not None else []
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                found = list(of_run(*(b.column(c)[i].as_py() for c in ("run", "doc_ids", "sizes", "terms", "begins", "postings"))))
+                found = list(of_run(*(b.column(c)[i].as_py() for c in ("run", "doc_ids", "tags", "sizes", "terms", "begins", "postings"))))
                 yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], kind) for j, kind in enumerate(KINDS)], list(NAMES))
 
     return run
@@ -231,7 +235,7 @@ def item_blocks(benchmark: DataFrame, width: int, block: int):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slack: int = 0, block: int = 2_000_000, run_bytes: int = RUN) -> DataFrame:
-    """For each row of ``docs``: n_words, n_hit, items, spans (word offsets, merged), n_near, near_items.
+    """For each row of ``docs``: tag (md5 of the text), n_words, n_hit, items, spans (word offsets, merged), n_near, near_items.
 
     n_near counts the windows with a proximity match (a start from which each of the
     terms stands at most ``slack`` from where it should) but no exact one in the row,
@@ -249,7 +253,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slack:
     blocks, of = item_blocks(benchmark, width, block)
     columns = NAMES[2:]
     if blocks == 1:
-        return index.mapInArrow(_matched(TestSet(of(0), width), slack, True), SCHEMA).select(*columns)
+        found = cut(index.mapInArrow(_matched(TestSet(of(0), width), slack, True), SCHEMA).select(*columns), "contamination")
+        discard(index)
+        return found
     every, parts = None, []
     for k in range(blocks):
         # the first block speaks for rows without a match
@@ -258,10 +264,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slack:
     joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     # at most one row of each block for a row
     row = every.groupBy("run", "place").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), joined("items"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sum("n_near").alias("n_near"), joined("near_items")
+        F.max("doc_id").alias("doc_id"), F.max("tag").alias("tag"), F.max("n_words").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), joined("items"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sum("n_near").alias("n_near"), joined("near_items")
     )
     found = cut(row.mapInArrow(_merged, SCHEMA).select(*columns), "contamination")
-    discard(*parts)
+    discard(index, *parts)
     return found
 
 

@@ -220,9 +220,10 @@ def near_duplicates(
     without words has no shingles and is its own component. Repeated rows
     share a component and a verdict. A null doc_id gets the least id of its
     component, null if none has one. An empty table gives none. Extra columns are
-    not read, whatever their names. Where ``row`` names a column of unique longs, it
-    is returned too, with first: whether this is the one row of its component that
-    has the least doc_id, and of these the least ``row`` (nulls come last).
+    not read, whatever their names. Where ``row`` names a column of longs that tells apart the
+    rows of one id by their text at least, it is returned too, with first: whether
+    this is the row of its component that has the least doc_id, and of these the least
+    ``row`` (nulls come last). Rows equal in both, and rows without words, are all first.
     """
     longs, floor = registers // 32, passes[-1]
     # rows with one id and one text stand for each other
@@ -312,8 +313,7 @@ def near_duplicates(
     to = cut(of.join(least_id, "c").select(F.col("digest").alias("of"), "first"), "of")
     out = sk.select("doc_id", "row", "n_shingles", "digest").join(to, F.col("digest") == F.col("of"), "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row", "digest", "first")
-    discard(classes, members, asked, whole, comp, of, least_id, *parts)
-    if not row:
-        return out.drop("row", "digest", "first")
-    return out.select("doc_id", "n_shingles", "component_id", "kept", F.col("row").alias(row), (F.col("digest").isNull() | (F.col("first.row") == F.col("row"))).alias("first"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row", (F.col("digest").isNull() | F.col("first").eqNullSafe(key)).alias("first"))
+    out = cut(out if row else out.drop("row", "first"), "components")
+    discard(sk, to, classes, members, asked, whole, comp, of, least_id, *parts)
+    return out.withColumnRenamed("row", row) if row else out
