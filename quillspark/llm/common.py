@@ -34,11 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+#: For tables of very long values: row groups are closed by their size at every few rows, so a writer holds little.
+LONG_ROWS = {"parquet.block.size": 1 << 24, "parquet.block.size.row.check.min": 2, "parquet.page.size.row.check.min": 2}
+
+
+def cut(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs neither
     compute it again nor depend on what a lost executor held."""
     path = f"{shared_dir(df.sparkSession)}/quillspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     _written.setdefault(id(df.sparkSession), []).append(path)

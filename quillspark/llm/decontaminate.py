@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, cut, discard, ranges, slices, texts
+from .common import LONG_ROWS, WordHash, cut, discard, ranges, slices, texts
 
 #: Bytes of text in a run of the index, positions between its documents, words in a piece of an item.
-RUN, GAP, PIECE = 2_000_000, 64, 20_000
+RUN, GAP, PIECE = 1_000_000, 64, 20_000
 #: Bytes: A-Z to a-z, all other ASCII but 0-9 and a-z to a space; the rest stays.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -150,7 +150,7 @@ def _indexed(run_bytes: int):
 def build_postings(docs: DataFrame, run_bytes: int = RUN) -> DataFrame:
     """The stored index of ``docs``: a row for each run of texts, with an id of its own."""
     d = docs.select("doc_id", texts().alias("text"))
-    index = cut(d.mapInArrow(_indexed(run_bytes), "run string, doc_ids array<bigint>, tags array<string>, sizes array<bigint>, terms binary, begins binary, postings binary"), "postings")
+    index = cut(d.mapInArrow(_indexed(run_bytes), "run string, doc_ids array<bigint>, tags array<string>, sizes array<bigint>, terms binary, begins binary, postings binary"), "postings", LONG_ROWS)
     return index
 
 
