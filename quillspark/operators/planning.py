@@ -35,6 +35,12 @@ def clip01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
+def ieee_ratio(a: Column, b: Column) -> Column:
+    """a / b as IEEE 754 has it, also where ``b`` is zero of either sign (ANSI mode raises an error there)."""
+    infinity = F.when(b.cast("string").startswith("-"), float("-inf")).otherwise(float("inf"))
+    return F.when(b == 0, a * infinity).otherwise(F.try_divide(a, b))
+
+
 def slide_offset(t: Column, start: Column, end: Column, dur: Column, phase: str) -> Column:
     """How far off its seat a sliding clip is at ``t``, 1 to 0 at entry and 0 to 1 at return; 0 outside both."""
     d = F.least(dur, end - start)
@@ -44,9 +50,9 @@ def slide_offset(t: Column, start: Column, end: Column, dur: Column, phase: str)
 
 
 def dissolve_alpha(t: Column, start: Column, end: Column, dur: Column) -> Column:
-    """A linear ramp up from the start and down to the end, each as long as ``dur`` or the span."""
+    """A linear ramp up from the start and down to the end, each as long as ``dur`` or the span; of no length, none."""
     d = F.least(dur, F.greatest(end - start, F.lit(1e-3)))
-    return F.least(clip01((t - start) / d), clip01((end - t) / d))
+    return F.least(clip01(ieee_ratio(t - start, d)), clip01(ieee_ratio(end - t, d)))
 
 
 def declared_grid(fps: Column) -> Column:

@@ -50,6 +50,30 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def clips_of_odd_durations(spark, folder):
+    """Events whose value, the duration of a transition, is zero of either sign, negative, null, infinite, not a number, or over the span."""
+    values = (0.0, -0.0, 5e-324, -3.0, None, float("inf"), float("-inf"), float("nan"), 30.0, 500.0)
+    rows = [(i * 10 + j, i, kind, v) for i, kind in enumerate(("click", "view", "purchase", "error")) for j, v in enumerate(values)]
+    d = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+    d.withColumn("ts", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:11.172425' + make_interval(0, 0, 0, 0, 0, 0, event_id * 7.25)")).write.parquet(f"{folder}/events.parquet")
+
+
+def agrees_with_sql(spark, folder, name):
+    import duckdb
+
+    r = duckdb.connect()
+    r.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, str(folder))
+    ours = sorted((tuple(map(plain, x)) for x in df.collect()), key=str)
+    theirs = sorted((tuple(map(plain, x)) for x in r.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[name]})").fetchall()), key=str)
+    assert len(ours) == 360 and ours == theirs
+
+
+def test_dissolve_of_no_duration(spark, tmp_path):
+    clips_of_odd_durations(spark, tmp_path)
+    agrees_with_sql(spark, tmp_path, "dissolve")
+
+
 def test_complement_has_head_and_tail_and_joins_overlaps(spark):
     d = spark.createDataFrame([("a", 2.0, 4.0), ("a", 3.0, 5.0), ("a", 8.0, 9.0)], "k string, s double, e double")
     assert sorted(map(tuple, complement(d, "k", "s", "e", 0.0, 10.0).collect())) == [("a", 0.0, 2.0), ("a", 5.0, 8.0), ("a", 9.0, 10.0)]
