@@ -42,10 +42,11 @@ def ieee_ratio(a: Column, b: Column) -> Column:
 
 
 def slide_offset(t: Column, start: Column, end: Column, dur: Column, phase: str) -> Column:
-    """How far off its seat a sliding clip is at ``t``, 1 to 0 at entry and 0 to 1 at return; 0 outside both."""
+    """How far off its seat a sliding clip is at ``t``, 1 to 0 at entry and 0 to 1 at return; 0 outside both.
+    A return of no length is off at once."""
     d = F.least(dur, end - start)
     begin = start if phase == "entry" else end - d
-    p = smoother(clip01((t - begin) / d))
+    p = smoother(clip01(F.try_divide(t - begin, d)))  # at a window of no length 0 / 0, which clips to 1 as null does
     return F.when(t.between(begin, begin + d), 1 - p if phase == "entry" else p).otherwise(F.lit(0.0))
 
 

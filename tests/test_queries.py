@@ -74,6 +74,11 @@ def test_dissolve_of_no_duration(spark, tmp_path):
     agrees_with_sql(spark, tmp_path, "dissolve")
 
 
+def test_slide_of_no_duration(spark, tmp_path):
+    clips_of_odd_durations(spark, tmp_path)
+    agrees_with_sql(spark, tmp_path, "slide_transition")
+
+
 def test_complement_has_head_and_tail_and_joins_overlaps(spark):
     d = spark.createDataFrame([("a", 2.0, 4.0), ("a", 3.0, 5.0), ("a", 8.0, 9.0)], "k string, s double, e double")
     assert sorted(map(tuple, complement(d, "k", "s", "e", 0.0, 10.0).collect())) == [("a", 0.0, 2.0), ("a", 5.0, 8.0), ("a", 9.0, 10.0)]
