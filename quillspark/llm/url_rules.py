@@ -165,7 +165,12 @@ def mine_rules(
     size = max(short.count(), 1)
     # support is counted over the baskets that have an item left
     model = FPGrowth(minSupport=min(1.0, (least - 0.5) / size), minConfidence=0.0).fit(short)
-    found = model.freqItemsets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("items"))
+    frequent = cut(model.freqItemsets, "frequent")
+    with_bad = F.array_contains("items", BAD)
+    seen = frequent.where(~with_bad).select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
+    found = frequent.where(with_bad & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("items"), F.col("freq").alias("n_bad"))
+    # a rule that no long bad basket holds has all its bad baskets here; the good ones of the long baskets only lower it
+    found = found.join(seen, "items").where(passes(F.col("n_bad"), F.col("n"))).select("items")
     if least_only:
         found = found.unionByName(known.where(alone).select(F.array("item").alias("items")))
     rounds: list[DataFrame] = []
@@ -175,7 +180,7 @@ def mine_rules(
         grown, rounds = _grown(front, passes, least, least_only)
         found = found.unionByName(grown).distinct()
     found = cut(found.withColumn("rule", F.array_join("items", " ")), "itemsets")
-    discard(short, ready, *rounds)
+    discard(short, ready, frequent, *rounds)
     rarest = found.select("rule", F.explode("items").alias("item")).join(known, "item").groupBy("rule").agg(F.min_by("item", F.struct("n", "item")).alias("key"))
     index = found.join(rarest, "rule")
     # exact counts over whole baskets, each distinct set of items once
